@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeyline.llm import tokens
-from storeyline.llm.common import bounded_batches, table
+from storeyline.llm import langid, pii, tokens, toxicity
+from storeyline.llm.common import bounded_batches, crc_mod, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -17,7 +17,30 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = [op1_token_counts]
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.profiles(docs.where(crc_mod("doc_id", 4) != 2), F.col("text"), F.col("lang"), F.col("doc_id"))
+    found = langid.predict(docs, F.col("text"), [F.col("doc_id")], learned)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(*toxicity.sample(docs, labels, crc_mod("doc_id", 5) != 0))
+    found = toxicity.scored(docs, F.col("text"), [F.col("doc_id")], model)
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"), F.col("text"), [F.col("doc_id")])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = [op1_token_counts, op2_language_id, op6_toxicity, op7_pii]
 
 ORACLE_SQL: dict[str, str] = {}
 
