@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeyline.llm import langid, pii, tokens, toxicity
-from storeyline.llm.common import bounded_batches, crc_mod, table
+from storeyline.llm import langid, packing, pii, tokens, topk, toxicity
+from storeyline.llm.common import bounded_batches, crc_mod, table, written
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -24,6 +24,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), tokens.tokenizer_path(VOCABULARY))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = written(topk.quantised(table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("embedding")))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(*toxicity.sample(docs, labels, crc_mod("doc_id", 5) != 0))
@@ -40,9 +50,24 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = [op1_token_counts, op2_language_id, op6_toxicity, op7_pii]
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = [op1_token_counts, op2_language_id, op3_packing, op4_topk, op6_toxicity, op7_pii]
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk": """
+        with parts as (
+            select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+        ), flat as (select vec_id, unnest(v) as x, generate_subscripts(v, 1) as i from parts),
+        scored as (
+            select q.vec_id as query_id, c.vec_id as vec_id, cast(sum(q.x * c.x) as bigint) as score
+            from flat q join flat c on q.i = c.i and q.vec_id <> c.vec_id
+            where q.vec_id % 50 = 0 group by all
+        ), ranked as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+        )
+        select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5""",
+}
 
 
 def queries() -> dict:
