@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose results a worker keeps, the first it meets, among which are the frequent ones.
-MEMO = 1_000_000
+MEMO = 500_000
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 #: White space as the tokenizer's normaliser sees it; str.split() also splits at four control characters.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -66,8 +66,10 @@ class PrefixCounter:
         self.split_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         self.bytes = _byte_alphabet()
         self.fits: dict[str, dict[str, bool]] = {}
-        self.own: dict[str, bool] = {}
+        self.n_fits = 0
         self.split = {a + b: (a, b) for a, b in reversed(self.rank)}
+        #: Tokens that encode to themselves.
+        self.own = frozenset(t for t in self.vocab if self._merge(self._symbols(t)) == [t])
         self.units: dict[str, bytes] = {}
         self.counts: dict[str, int] = {}
         self.ids_of: dict[str, bytes] = {}
@@ -89,11 +91,6 @@ class PrefixCounter:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def _is_own(self, token: str) -> bool:
-        if (known := self.own.get(token)) is None:
-            known = self.own[token] = token in self.vocab and self._merge(self._symbols(token)) == [token]
-        return known
-
     def _pair_fits(self, a: str, b: str) -> bool:
         """Whether a and b stay apart where they meet: no merge across the border comes before the
         merges that made the parts of a and b which touch it. Undoes those merges, latest first."""
@@ -114,14 +111,12 @@ class PrefixCounter:
 
     def _inner(self, s: str) -> tuple[list[str], list[int]]:
         """For s[:0], s[:1], ..., s, as beginnings of a longer word: the last token and the count."""
-        own, known_own, fits, longest = self.own, self._is_own, self.fits, self.longest
+        own, fits, longest = self.own, self.fits, self.longest
         last, count = [""], [0]
         for k in range(1, len(s) + 1):
             for b in range(max(0, k - longest), k):
                 t = s[b:k]
-                if (mine := own.get(t)) is None:
-                    mine = known_own(t)
-                if mine and (not b or (fits.get(last[b]) or {}).get(t) or self._remember(last[b], t)):
+                if t in own and (not b or (fits.get(last[b]) or {}).get(t) or self._remember(last[b], t)):
                     last.append(t)
                     count.append(count[b] + 1)
                     break
@@ -130,20 +125,19 @@ class PrefixCounter:
         return last, count
 
     def _remember(self, a: str, b: str) -> bool:
-        if len(self.fits) > MEMO or len(known := self.fits.setdefault(a, {})) > MEMO:
-            self.fits.clear()
-            known = self.fits.setdefault(a, {})
+        known = self.fits.setdefault(a, {})
         if (out := known.get(b)) is None:
-            out = known[b] = self._pair_fits(a, b)
+            out = self._pair_fits(a, b)
+            if self.n_fits < MEMO:
+                known[b] = out
+                self.n_fits += 1
         return out
 
     def _whole(self, s: str, k: int, last: list[str]) -> int:
         """Where the last token of s[:k] as a whole word begins."""
         for b in range(max(0, k - self.longest), k):
             t = s[b:k] + self.end
-            if (mine := self.own.get(t)) is None:
-                mine = self._is_own(t)
-            if mine and (not b or (self.fits.get(last[b]) or {}).get(t) or self._remember(last[b], t)):
+            if t in self.own and (not b or (self.fits.get(last[b]) or {}).get(t) or self._remember(last[b], t)):
                 return b
         raise ValueError(f"no encoding of {s[:k]!r}")
 
