@@ -273,8 +273,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, errors:
 
         yield from _edges(found())
 
-    labels = components(cells.mapInArrow(confirm, "a long, b long"))
+    # rows that share an id are one node: the classes of its texts are linked
+    of = base.where("cls is not null and doc_id is not null").select("doc_id", "cls").join(classes.select("cls", "rep"), "cls").select("doc_id", "rep").distinct()
+    several = of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most")
+    same_id = of.join(several, "doc_id").select(F.col("rep").alias("a"), "b")
+    labels = components(cells.mapInArrow(confirm, "a long, b long").unionByName(same_id))
     by_class = classes.select("cls", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("of_class"))
-    # rows that share an id are one node: the smallest component of any of its classes
     by_doc = base.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id"))
     return by_doc.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
