@@ -29,7 +29,7 @@ from storeyline.llm import textcodes
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 4
 LANG_BUCKETS = 1 << 12
 #: Labelled documents of each label in the sample.
-MAX_TRAIN = 2500
+MAX_TRAIN = 2000
 
 
 @dataclass
@@ -103,6 +103,12 @@ def score_texts(model: Model | None, texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def _hashed(texts: list[str], step: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts, hashed a few texts at a time: only the hashes stay in memory."""
+    parts = [textcodes.words(*textcodes.folded(texts[i : i + step])) for i in range(0, len(texts), step)]
+    return np.concatenate([h for h, _ in parts]), np.cumsum(np.concatenate([[0], *(np.diff(b) for _, b in parts)]))
+
+
 def _slice(hashes: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     parts = [hashes[bounds[i] : bounds[i + 1]] for i in rows]
     return np.concatenate(parts) if parts else hashes[:0], np.cumsum([0, *map(len, parts)])
@@ -114,7 +120,7 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], epochs: i
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
-    hashes, bounds = textcodes.words(*textcodes.folded(texts))
+    hashes, bounds = _hashed(texts)
     n, owner = np.diff(bounds), np.repeat(np.arange(len(labels)), np.diff(bounds))
     aside = np.zeros(len(labels), bool)
     for y in (0, 1):
