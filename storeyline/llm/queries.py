@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeyline.llm import decontam, langid, neardup, packing, pii, tokens, topk, toxicity
+from storeyline.llm import decontam, langid, neardup, packing, pii, tokens, toolcalls, topk, toxicity
 from storeyline.llm.common import bounded_batches, crc_mod, table, written
 
 VOCABULARY = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.linked(table(spark, sf_dir, "conversations"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(*toxicity.sample(docs, labels, crc_mod("doc_id", 5) != 0))
@@ -58,14 +62,41 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = [op1_token_counts, op2_language_id, op3_packing, op4_topk, op6_toxicity, op7_pii, op9_decontamination, op10_near_duplicates]
+QUERIES = [op1_token_counts, op2_language_id, op3_packing, op4_topk, op5_tool_calls, op6_toxicity, op7_pii, op9_decontamination, op10_near_duplicates]
 
+#: op5's covers plain conversations, which is what the tables hold; calls in JSON are covered by tests.
 ORACLE_SQL: dict[str, str] = {
+    "op5_tool_calls": """
+        with e as (
+            select conv_id, turn, cast(0 as bigint) as seq, role, text,
+                case role when 'user' then 'call' when 'assistant' then 'result' else 'message' end as kind,
+                case role when 'user' then cast(turn as varchar) when 'assistant' then cast(turn - 1 as varchar) end as call_id
+            from conversations
+        ), ids as (
+            select conv_id, call_id, min(turn) filter (kind = 'call') as first_turn,
+                count(*) filter (kind = 'call') as n_calls, count(*) filter (kind = 'result') as n_results
+            from e where call_id is not null and conv_id is not null and turn is not null group by all
+        ), j as (
+            select e.*, i.first_turn, coalesce(i.n_calls, 0) as n_calls, coalesce(i.n_results, 0) as n_results
+            from e left join ids i on e.conv_id = i.conv_id and e.call_id = i.call_id
+        )
+        select conv_id, turn, seq, kind, call_id,
+            case kind when 'call' then n_results > 0 when 'result' then n_calls > 0 else false end as linked,
+            n_calls, n_results,
+            case when kind = 'call' and text is null then 'text is no string' else '' end as problems,
+            not (kind = 'call' and text is null) as valid,
+            case kind when 'result' then greatest(turn, first_turn) else turn end as order_turn,
+            cast(kind = 'result' as integer) as order_rank,
+            case kind
+                when 'call' then '{"arguments":{"text":' || to_json(text) || '},"id":' || to_json(call_id) || ',"name":"reply"}'
+                when 'result' then '{"content":' || to_json(text) || ',"tool_call_id":' || to_json(call_id) || '}'
+                else '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' end as json
+        from j""",
     "op4_topk": """
         with parts as (
-            select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
             from embeddings
-            where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), flat as (select vec_id, unnest(v) as x, generate_subscripts(v, 1) as i from parts),
         scored as (
             select q.vec_id as query_id, c.vec_id as vec_id, cast(sum(q.x * c.x) as bigint) as score
