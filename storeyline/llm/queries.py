@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeyline.llm import decontam, langid, neardup, packing, pii, tokens, toolcalls, topk, toxicity
+from storeyline.llm import decontam, langid, neardup, packing, pii, suffixdedup, tokens, toolcalls, topk, toxicity
 from storeyline.llm.common import bounded_batches, crc_mod, table, written
 
 VOCABULARY = "word_bpe_49k.json"
@@ -54,6 +54,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), F.col("text"), [F.col("doc_id")], table(spark, sf_dir, "benchmark"))
 
@@ -62,7 +66,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = [op1_token_counts, op2_language_id, op3_packing, op4_topk, op5_tool_calls, op6_toxicity, op7_pii, op9_decontamination, op10_near_duplicates]
+QUERIES = [op1_token_counts, op2_language_id, op3_packing, op4_topk, op5_tool_calls, op6_toxicity, op7_pii, op8_suffix_dedup, op9_decontamination, op10_near_duplicates]
 
 #: op5's covers plain conversations, which is what the tables hold; calls in JSON are covered by tests.
 ORACLE_SQL: dict[str, str] = {
