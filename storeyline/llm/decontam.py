@@ -185,28 +185,46 @@ def find(texts: list[str | None], own: Index, q: int = Q) -> list[list[tuple[int
     return out
 
 
+def _blocks(benchmark: DataFrame, item_chars: int) -> Iterator:
+    """Broadcasts of (item_id, text), each of a bounded number of characters."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and length(text) > 0")
+    n = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    blocks = max(1, -(-n // max(1, item_chars)))
+    for b in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield benchmark.sparkSession.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in part.toLocalIterator()}))
+
+
 def contaminated(docs: DataFrame, text: Column, keys: list[Column], benchmark: DataFrame, item_chars: int = ITEM_CHARS) -> DataFrame:
     """``keys`` with item_id, start, end, edits: one row a match; documents without one have none."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and length(text) > 0")
-    size = items.agg(F.sum(F.length("text")).alias("n"), F.max(F.length("text")).alias("longest")).first()
-    blocks = max(1, -(-(size.n or 0) // max(1, item_chars)))
     source = docs.select(*keys, text.cast("string").alias("__text"))
     names = source.columns[:-1]
-    schema = source.drop("__text").withColumns({"item_id": F.lit(0).cast("long"), "start": F.lit(0).cast("long"), "end": F.lit(0).cast("long"), "edits": F.lit(0).cast("long")}).schema
+    schema = source.drop("__text").withColumns({c: F.lit(0).cast("long") for c in ("item_id", "start", "end", "edits")}).schema
     out = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        shared = docs.sparkSession.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in part.toLocalIterator()}))
+    for shared in _blocks(benchmark, item_chars):
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = index(shared.value)
             for batch in batches:
                 found = find(batch.column(len(names)).to_pylist(), own)
-                row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
                 flat = np.array([m for f in found for m in f], np.int64).reshape(-1, 4)
-                take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(names))), *(pa.array(flat[:, c]) for c in range(4))], names=[*names, "item_id", "start", "end", "edits"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(len(names))), *(pa.array(flat[:, c]) for c in range(4))], names=[*names, "item_id", "start", "end", "edits"])
 
         here = source.mapInArrow(run, schema)
         out = here if out is None else out.unionByName(here)
     return out
+
+
+def clean(docs: DataFrame, text: str, benchmark: DataFrame, item_chars: int = ITEM_CHARS) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item."""
+    at = docs.columns.index(text)
+    for shared in _blocks(benchmark, item_chars):
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = index(shared.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not f for f in find(batch.column(at).to_pylist(), own)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
