@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from storeyline.plans import kernels
+
 
 def queries() -> dict:
-    return {}
+    return dict(kernels.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(kernels.ORACLE_SQL)
