@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ MEMO = 500_000
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 #: White space as the tokenizer's normaliser sees it; str.split() also splits at four control characters.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_STOPS = frozenset(",.;:!?|")
 _WORD, _CONTROL = re.compile(f"[^{_SPACE}]+"), "\x1c\x1d\x1e\x1f"
 
 
@@ -71,6 +72,8 @@ class PrefixCounter:
         #: Tokens that encode to themselves.
         self.own = frozenset(t for t in self.vocab if self._merge(self._symbols(t)) == [t])
         self.units: dict[str, bytes] = {}
+        self.state: dict[str, str] = {}
+        self.shown = str.maketrans({i: self.bytes[i] for i in range(256) if self.bytes[i] != chr(i)})
         self.counts: dict[str, int] = {}
         self.ids_of: dict[str, bytes] = {}
 
@@ -111,12 +114,12 @@ class PrefixCounter:
 
     def _inner(self, s: str) -> tuple[list[str], list[int]]:
         """For s[:0], s[:1], ..., s, as beginnings of a longer word: the last token and the count."""
-        own, fits, longest = self.own, self.fits, self.longest
+        own, longest = self.own, self.longest
         last, count = [""], [0]
         for k in range(1, len(s) + 1):
             for b in range(max(0, k - longest), k):
                 t = s[b:k]
-                if t in own and (not b or (fits.get(last[b]) or {}).get(t) or self._remember(last[b], t)):
+                if t in own and (not b or self._remember(last[b], t)):
                     last.append(t)
                     count.append(count[b] + 1)
                     break
@@ -125,7 +128,9 @@ class PrefixCounter:
         return last, count
 
     def _remember(self, a: str, b: str) -> bool:
-        known = self.fits.setdefault(a, {})
+        known = self.fits.get(a)
+        if known is None:
+            known = self.fits[a] = {}
         if (out := known.get(b)) is None:
             out = self._pair_fits(a, b)
             if self.n_fits < MEMO:
@@ -133,11 +138,24 @@ class PrefixCounter:
                 self.n_fits += 1
         return out
 
-    def _whole(self, s: str, k: int, last: list[str]) -> int:
-        """Where the last token of s[:k] as a whole word begins."""
+    def _last(self, s: str) -> str:
+        """The last token of s as a beginning: the same table, kept by prefix for all words, made on demand."""
+        if (known := self.state.get(s)) is not None:
+            return known
+        own, n = self.own, len(s)
+        for b in range(max(0, n - self.longest), n):
+            t = s[b:]
+            if t in own and (not b or self._remember(self._last(s[:b]), t)):
+                if len(self.state) < MEMO // 2:
+                    self.state[s] = t
+                return t
+        raise ValueError(f"no encoding of {s!r}")
+
+    def _whole(self, s: str, k: int, last: Callable[[int], str]) -> int:
+        """Where the last token of s[:k] as a whole word begins; ``last`` gives that of s[:b] as a beginning."""
         for b in range(max(0, k - self.longest), k):
             t = s[b:k] + self.end
-            if t in self.own and (not b or (self.fits.get(last[b]) or {}).get(t) or self._remember(last[b], t)):
+            if t in self.own and (not b or self._remember(last(b), t)):
                 return b
         raise ValueError(f"no encoding of {s[:k]!r}")
 
@@ -145,12 +163,17 @@ class PrefixCounter:
         """The ids of one unit, as little-endian uint32."""
         if (known := self.units.get(s)) is not None:
             return known
-        last, _ = self._inner(s[:-1])
+        if len(s) > 48:  # deep recursion is no option
+            table, _ = self._inner(s[:-1])
+            last = table.__getitem__
+        else:
+            last = lambda b: self._last(s[:b])
         k = self._whole(s, len(s), last)
         ids = [self.vocab[s[k:] + self.end]]
         while k:
-            ids.append(self.vocab[last[k]])
-            k -= len(last[k])
+            t = last(k)
+            ids.append(self.vocab[t])
+            k -= len(t)
         ids.reverse()
         out = array("I", ids).tobytes()
         if len(self.units) < MEMO // 2:
@@ -160,12 +183,16 @@ class PrefixCounter:
     def _unit_prefixes(self, s: str) -> np.ndarray:
         """The counts of s[:1], s[:2], ..., s as whole units."""
         last, count = self._inner(s[:-1])
-        return np.array([count[self._whole(s, k, last)] + 1 for k in range(1, len(s) + 1)], np.int64)
+        return np.array([count[self._whole(s, k, last.__getitem__)] + 1 for k in range(1, len(s) + 1)], np.int64)
 
     def _word_units(self, word: str) -> Iterator[str | int]:
         """The units of a run without white space; special tokens as their ids."""
-        if word.isascii() and word.isalpha():
-            yield word.lower()
+        if word[-1:] in _STOPS and (head := word[:-1]).isalpha() and max(head) < "\u0180" and len(low := head.lower()) == len(head) and low.isalpha():
+            yield low if low.isascii() else low.encode().decode("latin-1").translate(self.shown)
+            yield word[-1]
+            return
+        if word.isalpha() and max(word) < "\u0180" and len(low := word.lower()) == len(word) and low.isalpha():
+            yield low if low.isascii() else low.encode().decode("latin-1").translate(self.shown)
             return
         if "<" in word and self.split_special.search(word):
             at = 0
