@@ -7,10 +7,21 @@ joins with a residual, spread over buckets even where one plan holds many rows.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that driver and executors share, so that what reads it
+    several times does not repeat the plan before it."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storeyline-"))
+    return df.checkpoint()
+
+
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, below: float, above: float, how: str = "inner", condition: Column | None = None) -> DataFrame:
     """Rows with right_at - left_at in [below, above] and equal keys.
 

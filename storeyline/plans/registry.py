@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from storeyline.plans import kernels
+from storeyline.plans import fixtures, kernels
 
 
 def queries() -> dict:
-    return dict(kernels.QUERIES)
+    return {**kernels.QUERIES, **fixtures.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(kernels.ORACLE_SQL)
+    return {**kernels.ORACLE_SQL, **fixtures.ORACLE_SQL}
