@@ -42,7 +42,7 @@ def trigrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
     s = symbols(letters)
     codes = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
     for i in range(len(texts)):
-        own = codes[starts[i] + 1 : starts[i + 1]]
+        own = codes[starts[i] : starts[i + 1]]
         own = own[own > 0]
         if len(own) > 30_000:
             counts = np.bincount(own, minlength=SYMBOLS**3)
