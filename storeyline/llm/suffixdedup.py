@@ -71,7 +71,7 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     pos = np.unique(np.concatenate(found))
     left, right = np.maximum(0, pos - (length - gram)), np.minimum(n, pos + length)
     context = mixed(((total[right] - total[left]) * down[left]) ^ mixed(((pos - left) * 1000 + (right - pos)).astype(np.uint64)))
-    return pos, h[pos], context
+    return pos, mixed(h[pos] * np.uint64(0xD6E8FEB86659FD93)), context  # least hashes are small ones: spread them again
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -216,7 +216,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(flat[0].astype(np.int64)), pa.array(flat[1].view(np.int64)), pa.array(flat[2].view(np.int64))], names=["doc_id", "th", "pos", "kh", "ch"])
 
     marked = written(source.mapInArrow(mark, "doc_id long, th long, pos long, kh long, ch long"))
-    often = marked.groupBy("kh").agg(F.count("*").alias("n"), F.min("ch").alias("a"), F.max("ch").alias("b")).where("n > 1").select("kh", (F.col("a") != F.col("b")).alias("differ"))
+    # written apart, so that the join deals both sides anew and may split the rows of a frequent gram
+    often = written(marked.groupBy("kh").agg(F.count("*").alias("n"), F.min("ch").alias("a"), F.max("ch").alias("b")).where("n > 1").select("kh", (F.col("a") != F.col("b")).alias("differ")))
     live = written(marked.join(often, "kh"))
     kinds = live.where("differ").groupBy("kh", "ch").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "th", "pos")).alias("at"))
     kinds = written(kinds.select("kh", "ch", "m", "at.*"))
