@@ -70,6 +70,21 @@ QUERIES = [op1_token_counts, op2_language_id, op3_packing, op4_topk, op5_tool_ca
 
 #: op5's covers plain conversations, which is what the tables hold; calls in JSON are covered by tests.
 ORACLE_SQL: dict[str, str] = {
+    "op10_near_duplicates": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+            from documents
+        ), s as (
+            select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as sh
+            from w
+        ), n as (select doc_id, count(*) as n from s group by all),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+        l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+        e as (select x, y from l union all select y, x from l),
+        r(doc_id, c) as (select doc_id, doc_id from documents union select e.y, r.c from r join e on r.doc_id = e.x)
+        select r.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(c) as component_id, r.doc_id = min(c) as kept
+        from r left join n on r.doc_id = n.doc_id group by r.doc_id""",
     "op5_tool_calls": """
         with e as (
             select conv_id, turn, cast(0 as bigint) as seq, role, text,

@@ -442,7 +442,7 @@ def test_components(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("embeddings", "conversations", "documents"):
         c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = queries.queries()[name](spark, SF)
     answer = c.execute(queries.ORACLE_SQL[name])
