@@ -19,6 +19,10 @@ to the right; that much is the anchor's context, clipped to its document.
    bytes, one LCP interval, and their left sides share d bytes, one interval in the order of the
    reversed left sides. For all d at once this is a count of pairs of intervals.
 
+A gram in very many different contexts (the ends of a passage that everybody quotes) would be one
+task's group. Its contexts give the 128-bit hash of each string over the gram instead, at most
+length - GRAM + 1 of them, which are counted with partial aggregation.
+
 Defined results: null and empty texts have no bytes; matches never cross documents; repeated rows
 are separate documents; a null doc_id is a value like another.
 """
@@ -40,6 +44,8 @@ from storeyline.llm.textcodes import _powers, mixed
 LENGTH = 400
 GRAM = 64
 RUN = 20_000
+#: Grams in more different contexts than this are resolved string by string instead of in one task.
+FREQUENT = 20_000
 SLICE = 1 << 20
 
 
@@ -221,9 +227,24 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     live = written(marked.join(often, "kh"))
     kinds = live.where("differ").groupBy("kh", "ch").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "th", "pos")).alias("at"))
     kinds = written(kinds.select("kh", "ch", "m", "at.*"))
+    many = written(kinds.groupBy("kh").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT).select("kh"))
+    frequent = many.count() > 0
+    sorted_kinds = kinds.join(many, "kh", "left_anti") if frequent else kinds
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-kinds.count() // (2 * RUN)))
-    asked = kinds.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("kh", "ch", "m", "pos")).alias("wanted"))
-    read = source.join(asked.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t"))).select("text", "wanted")
+
+    def contexts(of: DataFrame) -> DataFrame:
+        """(text, wanted): the documents that hold the chosen contexts."""
+        asked = of.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("kh", "ch", "m", "pos")).alias("wanted"))
+        return source.join(asked.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t"))).select("text", "wanted")
+
+    def strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = _text_bytes(text)
+                for w in wanted:
+                    starts = range(max(0, w["pos"] - reach), min(w["pos"], len(data) - length) + 1)
+                    n = len(starts)
+                    yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(data[p : p + length], digest_size=16).digest() for p in starts], pa.binary()), pa.array([w["kh"]] * n, pa.int64()), pa.array([w["ch"]] * n, pa.int64()), pa.array([w["pos"] - p for p in starts], pa.int64())], names=["h", "kh", "ch", "d"])
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(items: list) -> pa.RecordBatch:
@@ -245,7 +266,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
         if items:
             yield out(items)
 
-    exchanged = read.mapInArrow(runs, "range long, run binary").repartition(ranges, "range").sortWithinPartitions("range")
+    exchanged = contexts(sorted_kinds).mapInArrow(runs, "range long, run binary").repartition(ranges, "range").sortWithinPartitions("range")
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(part: list[tuple[bytes, int, tuple]]) -> pa.RecordBatch:
@@ -283,6 +304,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     partly = exchanged.mapInArrow(merge, "kh long, ch long, runs array<struct<s:long,e:long>>")
     whole = kinds.where("m > 1").select("kh", "ch", F.array(F.struct(F.lit(-reach).cast("long").alias("s"), F.lit(length).cast("long").alias("e"))).alias("runs"))
     said = partly.unionByName(whole)
+    if frequent:
+        over = written(contexts(kinds.join(many, "kh", "left_semi")).mapInArrow(strings, "h binary, kh long, ch long, d long"))
+        # one string may lie over several grams; with its gram and distance it counts once a place
+        twice = over.groupBy("h", "kh", "d").agg(F.count("*").alias("n")).where("n > 1").select("h", "kh", "d")
+        hit = over.join(written(twice), ["h", "kh", "d"], "left_semi").groupBy("kh", "ch").agg(F.collect_set("d").alias("ds"))
+        said = said.unionByName(hit.select("kh", "ch", F.transform("ds", lambda d: F.struct((-d).alias("s"), (F.lit(length) - d).alias("e"))).alias("runs")))
     cover = live.where("differ").join(said, ["kh", "ch"]).select("doc_id", "th", "pos", "runs")
     cover = cover.unionByName(live.where("not differ").select("doc_id", "th", "pos", F.array(F.struct(F.lit(-reach).cast("long").alias("s"), F.lit(length).cast("long").alias("e"))).alias("runs")))
     cover = cover.distinct().groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.flatten(F.collect_list(F.transform("runs", lambda r: F.struct((F.col("pos") + r["s"]).alias("s"), (F.col("pos") + r["e"]).alias("e"))))).alias("cover"))
