@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeyline.functions import scalars as S
-from storeyline.operators import bim, classify, cleanup, evaluate, ocr, raster, scale, stamps
+from storeyline.operators import bim, classify, cleanup, evaluate, ocr, openings, raster, scale, stamps
 from storeyline.operators.helpers import consensus
 from storeyline.sinks import drawing, ifc
 from storeyline.sources import readers
@@ -373,6 +373,116 @@ def geo_ifc(spark: SparkSession, _: str) -> DataFrame:
     return out.select("plan_id", n("IFCWALL").alias("walls"), n("IFCDOOR").alias("doors"), n("IFCWINDOW").alias("windows"), n("IFCBUILDINGSTOREY").alias("storeys"), F.col("ifc").startswith("ISO-10303-21;").alias("framed"))
 
 
+# -- openings, drawing content, angles
+
+_BOXES = [(1, "door", 0.0, 0.0, 100.0, 10.0, "h"), (2, "window", 60.0, 0.0, 110.0, 10.0, "h"), (3, "window", 200.0, 0.0, 300.0, 10.0, "h"), (4, "door", 205.0, 0.0, 290.0, 10.0, "h"), (5, "window", 400.0, 0.0, 420.0, 10.0, "h"), (6, "window", 500.0, 0.0, 600.0, 40.0, "h")]
+
+
+def _opening_rows(spark: SparkSession) -> DataFrame:
+    return _rows(spark, [(1, *b) for b in _BOXES], OPENINGS)
+
+
+def geo_distinct_openings(spark: SparkSession, _: str) -> DataFrame:
+    return openings.distinct_openings(_opening_rows(spark)).select("seq")
+
+
+def geo_plausible_openings(spark: SparkSession, _: str) -> DataFrame:
+    return openings.plausible_openings(_opening_rows(spark), _rows(spark, [(1, 10.0)], "plan_id long, wall_px double")).select("seq", "plausible")
+
+
+def geo_passages(spark: SparkSession, _: str) -> DataFrame:
+    rows = _rows(spark, [(1, 1, "window", True), (1, 2, "window", False), (1, 3, "door", True), (2, 1, "window", True)], "plan_id long, seq long, kind string, inside boolean")
+    return openings.passages(rows).select("plan_id", "seq", "kind")
+
+
+def geo_window_boxes(spark: SparkSession, _: str) -> DataFrame:
+    xy = [(1, 0.0, 0.0, 50.0, 0.0), (2, 2.0, 30.0, 52.0, 30.0), (3, 1.0, 15.0, 51.0, 15.0), (4, 200.0, 0.0, 250.0, 0.0), (5, 300.0, 0.0, 300.0, 40.0), (6, 310.0, 0.0, 310.0, 41.0), (7, 0.0, 0.0, 5.0, 5.0)]
+    return openings.window_boxes(_rows(spark, [(1, s, *p, "WINDOWS", 1.0, 1) for s, *p in xy], LINES), 20.0)
+
+
+def geo_zones(spark: SparkSession, _: str) -> DataFrame:
+    lines = _rows(spark, [(1, 1, 5.0, 5.0, 15.0, 5.0, "LINES", 1.0, 1), (1, 2, 5.0, 5.0, 25.0, 5.0, "LINES", 1.0, 1), (2, 3, 5.0, 5.0, 15.0, 5.0, "LINES", 1.0, 1)], LINES)
+    return openings.in_zones(lines, _rows(spark, [(1, 0.0, 0.0, 20.0, 10.0)], "plan_id long, x0 double, y0 double, x1 double, y1 double")).select("plan_id", "seq")
+
+
+_CHOICES = [("STAIRS", True, True, False, True, "STAIRS"), ("STAIRS", False, False, False, False, None), ("LINES", False, False, True, True, "WINDOWS"), ("DIMENSIONS", False, False, True, True, "DIMENSIONS"), ("DIMENSIONS", True, True, False, True, None), ("WALLS", True, True, False, False, "LINES"), ("WALLS", True, True, False, True, None), ("SYMBOLS", True, False, False, False, "SYMBOLS")]
+
+
+def geo_line_choice(spark: SparkSession, _: str) -> DataFrame:
+    d = _rows(spark, [(i, *c[:5]) for i, c in enumerate(_CHOICES)], "i long, layer string, inside boolean, deep boolean, well boolean, essential boolean")
+    return d.select("i", openings.line_choice(*(F.col(c) for c in ("layer", "inside", "deep", "well", "essential"))).alias("choice"))
+
+
+_KEPT = [("Küche", 90.0, "TEXT", True, True, True), ("ab", 90.0, "TEXT", True, True, False), ("12.5 m2", 20.0, "TEXT", True, True, True), ("M 1:100", 99.0, "TEXT", False, False, False), ("4.50", 90.0, "DIMENSIONS", False, False, True), ("4.50", 90.0, "DIMENSIONS", True, True, False), ("Wort", 50.0, "TEXT", True, True, False), ("7", 99.0, "TEXT", True, True, False)]
+
+
+def geo_text_choice(spark: SparkSession, _: str) -> DataFrame:
+    d = _rows(spark, [(i, *c[:5]) for i, c in enumerate(_KEPT)], "i long, text string, conf double, layer string, inside boolean, deep boolean")
+    return d.select("i", openings.text_kept(*(F.col(c) for c in ("text", "conf", "layer", "inside", "deep"))).alias("kept"))
+
+
+def geo_plan_title(spark: SparkSession, _: str) -> DataFrame:
+    t = [(1, "Erdgeschoss", 200.0, 0.0, 90.0, False), (2, "Grundriss", 100.0, 1.0, 90.0, False), (3, "M 1:100", 300.0, 2.0, 90.0, False), (4, "leise", 400.0, 0.0, 50.0, False), (5, "Küche", 10.0, 0.0, 90.0, True), (6, "Plan", 10.0, 500.0, 90.0, False)]
+    rows = _rows(spark, [(1, i, x, a, b, a + 50, b + 20, c, 0, n) for i, x, a, b, c, n in t], "plan_id long, seq long, text string, x0 double, y0 double, x1 double, y1 double, conf double, rotation int, inside boolean")
+    return openings.plan_titles(rows)
+
+
+def _segments(spark: SparkSession) -> DataFrame:
+    import math
+
+    rows = [(1, i, 0.0, 0.0, 100 * math.cos(math.radians(a)), 100 * math.sin(math.radians(a))) for i, a in enumerate([9.0, 9.1, 9.2, 99.1, 40.0])]
+    return _rows(spark, rows, "plan_id long, seq long, x1 double, y1 double, x2 double, y2 double")
+
+
+def geo_dominant_angle(spark: SparkSession, _: str) -> DataFrame:
+    return openings.dominant_angle(_segments(spark)).select("plan_id", F.round("angle", 3).alias("angle"), F.round("clarity", 3).alias("clarity"))
+
+
+def geo_skew(spark: SparkSession, _: str) -> DataFrame:
+    return openings.skew(_segments(spark)).select("plan_id", F.round("angle", 3).alias("angle"))
+
+
+def geo_chosen_scale(spark: SparkSession, _: str) -> DataFrame:
+    return openings.chosen_scale(_rows(spark, [(1, 1.0, 0.80), (1, 0.7, 0.86), (1, 0.5, 0.87), (1, 0.35, 0.6)], "plan_id long, scale double, conf double"))
+
+
+def geo_large_components(spark: SparkSession, _: str) -> DataFrame:
+    return openings.large_components(_rows(spark, [(1, 1, 100), (1, 2, 5), (1, 3, 4), (2, 1, 3)], "plan_id long, label long, area long")).select("plan_id", "label")
+
+
+def geo_layer_counts(spark: SparkSession, _: str) -> DataFrame:
+    return _entities(spark).groupBy("plan_id", "layer").agg(F.count("*").alias("n"))
+
+
+def geo_bounds(spark: SparkSession, _: str) -> DataFrame:
+    return drawing.bounds(_entities(spark), _drawing_plans(spark))
+
+
+def geo_stamp_boxes(spark: SparkSession, _: str) -> DataFrame:
+    texts = _rows(spark, [(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 1, 0.0, 20.0, 10.0, 30.0), (1, 2, 100.0, 0.0, 110.0, 10.0), (1, None, 0.0, 0.0, 1.0, 1.0)], "plan_id long, grp long, x0 double, y0 double, x1 double, y1 double")
+    frames = _rows(spark, [(1, 7, -5.0, -5.0, 15.0, 35.0), (1, 8, -9.0, -9.0, 19.0, 39.0)], "plan_id long, seq long, x0 double, y0 double, x1 double, y1 double")
+    return drawing.stamp_boxes(texts, frames)
+
+
+def geo_names(spark: SparkSession, _: str) -> DataFrame:
+    d = _rows(spark, [(0, "/a/b/Plan EG (1).pdf"), (1, "???.png"), (2, "x" * 90), (3, 'a<b>&"c"')], "i long, t string")
+    return d.select("i", S.safe_stem("t").alias("stem"), S.xml_escape("t").alias("xml"))
+
+
+def geo_picture_source(spark: SparkSession, _: str) -> DataFrame:
+    d = _rows(spark, [(0, "Canon", 300.0, False), (1, None, 300.0, False), (2, " ", 72.0, False), (3, None, None, True)], "i long, make string, dpi double, pdf boolean")
+    s = readers.image_source(F.col("make"), F.col("dpi"), F.col("pdf"))
+    return d.select("i", s["source"].alias("source"), s["dpi"].alias("dpi"))
+
+
+def geo_points(spark: SparkSession, _: str) -> DataFrame:
+    d = _rows(spark, [(0, 3.0, 4.0), (1, -2.0, 0.0), (2, 14.0, 1.0)], "i long, px double, py double")
+    seg = S.point_segment_distance(F.col("px"), F.col("py"), F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(0.0))
+    f = S.frame(F.lit(90.0), F.lit(3.0), F.lit(1.0), F.lit(3.0), F.lit(5.0))
+    arc = S.arc_points(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(90.0))
+    return d.select("i", F.round(seg, 4).alias("distance"), F.round(f["rho"], 4).alias("rho"), F.round(f["t1"], 4).alias("t1"), F.size(arc).cast("long").alias("arc_points"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("geo_")}
 
 _CHAIN = [(s, "WALLS") for s in (1, 2, 3, 4, 5, 6)] + [(7, "DIMENSIONS"), (40, "DIMENSIONS"), (41, "DIMENSIONS"), (30, "DOORS"), (31, "LINES")] + [(s, "STAIRS") for s in range(10, 16)] + [(s, "HATCH") for s in range(21, 25)] + [(20, "LINES"), (25, "LINES")]
@@ -425,4 +535,22 @@ ORACLE_SQL = {
     "geo_ifc": _sql("plan_id, walls, doors, windows, storeys, framed", [(1, 4, 1, 2, 1, True)]),
     "geo_svg": _sql("plan_id, svg", [(1, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 20 10"><g class="l-LINES"><path d="M0 0L1 1Z"/></g><g class="l-SYMBOLS"><circle cx="5" cy="5" r="2"/></g><g class="l-DOORS"><path d="M10 0A10 10 0 0 1 0 10"/></g><g class="l-WALLS"><path d="M0 0L10 0.5M0 5L10 5"/></g><g class="l-TEXT"><text x="1" y="9" font-size="10">A &lt; B</text></g></svg>')]),
     "geo_dxf": "select 1 as plan_id, " + "replace('" + "|".join(["0", "SECTION", "2", "HEADER", "9", "$ACADVER", "1", "AC1024", "9", "$INSUNITS", "70", "4", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES", "0", "LINE", "8", "WALLS", "10", "0.0000", "20", "20.0000", "11", "20.0000", "21", "19.0000", "0", "ARC", "8", "DOORS", "10", "0.0000", "20", "20.0000", "40", "20.0000", "50", "-90.0000", "51", "-0.0000", "0", "ENDSEC", "0", "EOF", ""]) + "', '|', chr(10)) as dxf",
+    "geo_distinct_openings": _sql("seq", [(1,), (3,), (5,), (6,)]),
+    "geo_plausible_openings": _sql("seq, plausible", [(1, True), (2, True), (3, True), (4, True), (5, False), (6, False)]),
+    "geo_passages": _sql("plan_id, seq, kind", [(1, 1, "door"), (1, 2, "window"), (1, 3, "door"), (2, 1, "window")]),
+    "geo_window_boxes": _sql("plan_id, orient, x0, y0, x1, y1, n", [(1, "h", 0.0, 0.0, 52.0, 30.0, 3), (1, "v", 300.0, 0.0, 310.0, 41.0, 2)]),
+    "geo_zones": _sql("plan_id, seq", [(1, 1)]),
+    "geo_line_choice": _sql("i, choice", [(i, c[5]) for i, c in enumerate(_CHOICES)]),
+    "geo_text_choice": _sql("i, kept", [(i, c[5]) for i, c in enumerate(_KEPT)]),
+    "geo_plan_title": _sql("plan_id, title", [(1, "Grundriss Erdgeschoss")]),
+    "geo_dominant_angle": _sql("plan_id, angle, clarity", [(1, 9.1, 0.8)]),
+    "geo_skew": _sql("plan_id, angle", [(1, 9.1)]),
+    "geo_chosen_scale": _sql("plan_id, scale", [(1, 0.7)]),
+    "geo_large_components": _sql("plan_id, label", [(1, 1), (1, 2), (2, 1)]),
+    "geo_layer_counts": _sql("plan_id, layer, n", [(1, "WALLS", 2), (1, "SYMBOLS", 1), (1, "TEXT", 1), (1, "DOORS", 1), (1, "NEW", 1)]),
+    "geo_bounds": _sql("plan_id, x0, y0, x1, y1", [(1, -10.0, -10.0, 10.0, 10.0)]),
+    "geo_stamp_boxes": _sql("plan_id, grp, cx, cy, frame", [(1, 1, 5.0, 15.0, 7), (1, 2, 105.0, 5.0, None)]),
+    "geo_names": _sql("i, stem, xml", [(0, "Plan EG _1", "/a/b/Plan EG (1).pdf"), (1, "plan", "???.png"), (2, "x" * 80, "x" * 90), (3, "a_b_c", "a&lt;b&gt;&amp;&quot;c&quot;")]),
+    "geo_picture_source": _sql("i, source, dpi", [(0, "photo", None), (1, "scan", 300.0), (2, "image", None), (3, "pdf", None)]),
+    "geo_points": _sql("i, distance, rho, t1, arc_points", [(0, 4.0, -3.0, 5.0, 31), (1, 2.0, -3.0, 5.0, 31), (2, 4.1231, -3.0, 5.0, 31)]),
 }
