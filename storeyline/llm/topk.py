@@ -101,9 +101,12 @@ def block_best(q_ids: np.ndarray, q: np.ndarray, q_norm: np.ndarray, least: np.n
         focus = np.argsort(-np.abs(u))[:FOCUS]
         live = np.flatnonzero(c_norm * q_norm[i] >= least[i] * slack)
         for f in focus:
-            reach = np.sqrt(max(0.0, 1 - local[i] ** 2) * max(0.0, 1 - u[f] ** 2)) + 1e-9
-            x = unit[live, f]
-            live = live[(x >= u[f] * local[i] - reach) & ((x <= u[f] * local[i] + reach) | (x * np.sign(u[f]) >= abs(u[f]) * local[i]))]
+            # unit vectors within the angle of u have this coordinate, taken towards u, in [low, high]
+            v = abs(u[f])
+            reach = np.sqrt(max(0.0, 1 - local[i] ** 2) * max(0.0, 1 - v**2)) + 1e-9
+            x = unit[live, f] * (1 if u[f] >= 0 else -1)
+            high = 1 + 1e-9 if v >= local[i] else v * local[i] + reach
+            live = live[(x >= v * local[i] - reach) & (x <= high)]
         if len(live):
             keep(i, c_ids[live], _products(q[i : i + 1], c[live], q_norm[i] * longest)[0])
     for at in range(0, len(dense), 128):

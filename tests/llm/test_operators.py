@@ -178,6 +178,20 @@ def test_top_k(spark, kind):
     assert got == sorted(x for q in range(0, 400, 20) for x in brute_top(np.arange(400), m, q, 5))
 
 
+def test_coordinate_pruning_keeps_all_above_the_bound():
+    rng = np.random.default_rng(8)
+    for n in range(60):
+        axis = np.zeros(5)
+        axis[n % 5] = -1 if n % 2 else 1
+        c = np.rint(1000 * (axis + rng.normal(0, [0.02, 0.3][n % 2], (300, 5)))).astype(np.int64)
+        q = np.rint(1000 * (axis + rng.normal(0, 0.3, (1, 5)))).astype(np.int64)
+        scores, norm = (c @ q[0]), np.linalg.norm(c.astype(float), axis=1)
+        least = np.sort(scores)[-7:-6]
+        got = topk.block_best(np.array([-1]), q, np.linalg.norm(q.astype(float), axis=1), least, np.arange(300), c, norm, 5)
+        want = np.lexsort((np.arange(300), -scores))[:5]
+        assert [x[1] for x in got] == want.tolist()
+
+
 def test_top_k_of_few_and_large(spark):
     df = topk.quantised(spark.createDataFrame([(0, [0.5, 0.5]), (1, [0.25, 1.0]), (2, [1.0])], "vec_id long, e array<double>"), F.col("vec_id"), F.col("e"))
     assert [tuple(r) for r in topk.top_k(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 128 * 64 + 128 * 256)]
