@@ -62,7 +62,7 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
     """Arrow batches small enough for long texts, unless the session says otherwise."""
-    for key, value in {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}.items():
+    for key, value in {"spark.sql.execution.arrow.maxRecordsPerBatch": "400", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}.items():
         if spark.conf.get(key, None) in (None, "10000", "-1", "67108864", "64MB", "256MB", str(256 << 20)):
             spark.conf.set(key, value)
     return spark

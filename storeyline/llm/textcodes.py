@@ -38,13 +38,19 @@ def folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-@cache
+_POWERS: list[np.ndarray] = []
+
+
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least 2**bits powers of the base and of its inverse; only the longest table is kept."""
     n = 1 << bits
-    up, down = np.empty(n, np.uint64), np.empty(n, np.uint64)
-    up[0] = down[0] = 1
-    up[1:], down[1:] = _BASE, pow(_BASE, -1, 1 << 64)
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            table = np.full(n, base, np.uint64)
+            table[0] = 1
+            _POWERS.append(np.cumprod(table, dtype=np.uint64))
+    return _POWERS[0], _POWERS[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
