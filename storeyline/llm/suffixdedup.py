@@ -44,8 +44,9 @@ from storeyline.llm.textcodes import _powers, mixed
 LENGTH = 400
 GRAM = 64
 RUN = 20_000
-#: Grams in more different contexts than this are resolved string by string instead of in one task.
-FREQUENT = 20_000
+#: Grams in more different contexts than this, about 100 MB of a worker's memory, are resolved string by string
+#: instead of in one task. That writes some 20 kB a context, so it is kept for groups that would not fit.
+FREQUENT = 100_000
 SLICE = 1 << 20
 
 
