@@ -120,6 +120,33 @@ def test_packing_holds_the_mixture(spark):
                 assert all(abs(sent[x] - share[x] * end) <= 400 + 120 for x in "ab")
 
 
+@pytest.mark.parametrize("case", ["shares", "targets", "many", "one"])
+def test_every_window_holds_the_mixture(spark, library, case):
+    r = random.Random(9)
+    names = {"many": [f"s{i}" for i in range(150)], "one": ["a"]}.get(case, ["a", "b", "c", "d"])
+    texts = [(i, prose(r, r.choice([3, 20, 200])), r.choice(names if i % 3 else names[:1])) for i in range(400)]
+    df = spark.createDataFrame([(i, t, s) for i, t, s in texts], "doc_id long, text string, source string").repartition(3)
+    targets = {"a": 4.0, "b": 1.0, "c": 1.0, "d": 2.0} if case == "targets" else None
+    got = packing.packed(df, PATH, window=128, targets=targets).collect()
+    check_packing(got, [x[:2] for x in texts], library, 128)
+    total, windows = Counter(), {}
+    for p in got:
+        total[p.source] += p.length
+        windows.setdefault(p.sequence_id, Counter())[p.source] += p.length
+    share = {s: (targets or total)[s] / sum((targets or total).values()) for s in total}
+    sent, checked = Counter(), 0
+    for _, own in sorted(windows.items()):
+        sent.update(own)
+        if sum(own.values()) == 128 and (targets is None or all(sent[s] < total[s] for s in total)):
+            checked += 1
+            off = sum(abs(own[s] / 128 - share[s]) for s in total) / 2
+            assert off <= {"many": 0.55, "one": 0}.get(case, 0.04), (case, off)
+            assert case == "many" or len(own) == len(total)
+    assert checked > 20
+    if case == "one":  # documents are cut at windows only
+        assert len(got) <= len(texts) + len(windows)
+
+
 # 2: languages
 
 
