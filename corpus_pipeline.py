@@ -27,14 +27,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id; rows without an id stay.
+    """Of each group of near duplicates the row of the smallest id, then the least by its other columns;
+    rows without an id stay.
 
-    Several rows of one id that stay become one, the least by its other columns."""
+    Every row counts by its own text, so rows that share an id but not their texts all stay. Texts
+    without words are near to nothing; rows equal in id and such a text become one."""
     bounded_batches(spark)
-    dropped = neardup.near_duplicates(docs, percent=NEAR).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    left = docs.where("doc_id is not null").join(dropped.hint("shuffle_hash"), F.col("doc_id") == F.col("__dropped"), "left_anti")
+    rows = written(docs.where("doc_id is not null").withColumn("__row", F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), percent=NEAR)
+    found = found.select(F.col("doc_id").alias("__row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__group"))
+    wordless = F.col("__group").isNull()
+    groups = ["__group", F.when(wordless, F.col("doc_id")).alias("__id"), F.when(wordless, F.col("text")).alias("__same")]
     others = [c for c in docs.columns if c != "doc_id"]
-    one = left.groupBy("doc_id").agg(F.min(F.struct(*(f"`{c}`" for c in others))).alias("__row")).select("doc_id", "__row.*")
+    least = F.min(F.struct("doc_id", *(f"`{c}`" for c in others))).alias("__least")
+    one = rows.join(found.hint("shuffle_hash"), "__row").groupBy(*groups).agg(least).select("__least.*")
     return one.unionByName(docs.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
 
 

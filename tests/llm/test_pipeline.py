@@ -62,6 +62,15 @@ def test_one_of_each_group_stays(planted):
     assert sum(r.doc_id is None for r in after) == 2
 
 
+def test_rows_that_share_an_id_count_by_their_texts(spark):
+    r = random.Random(4)
+    a, b, c, d = (prose(r, 40) for _ in range(4))
+    rows = [(1, a), (5, b), (5, c), (5, a), (6, b + " x"), (7, c), (8, d), (8, d), (8, None), (8, None), (8, ""), (9, "")]
+    docs = spark.createDataFrame([(*x, "en", "s", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (5, b), (5, c), (8, d), (8, None), (8, ""), (9, "")], key=str)
+
+
 def test_leaks_go(planted):
     _, items, stages = planted
     before, after = stages["decontamination"]
