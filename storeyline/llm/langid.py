@@ -5,9 +5,10 @@ the first letter's vector permuted twice, the second's permuted once and the thi
 bundles, that is adds, the vectors of its trigrams; a language's prototype bundles those of its
 training documents. A document gets the language whose prototype has the largest cosine with it.
 
-Bundles are linear, so a training pass adds up trigram counts by language in Spark and only their
-bounded sums (trigram classes x languages) reach the driver. Training uses at most about
-``max_train`` documents, drawn by hash of the id; prediction reads every text whole.
+Bundles are linear, so a training pass adds up trigram counts by language in Spark; executors bundle
+them and only the prototypes, ``DIM`` numbers a language, reach the driver. Every language is learned.
+Training uses about ``max_train`` documents, drawn by hash of the id, and one of each language at
+least; prediction reads every text whole.
 
 Defined results: ``und`` with score 0 where a text is null or has no letter; ties go to the
 language that sorts first; without any training document all are ``und``.
@@ -18,11 +19,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storeyline.llm import textcodes
+from storeyline.llm.common import written
 
 #: Letter classes: 26 letters and 37 classes that share the rest by a multiplicative hash; 0 is between words.
 SYMBOLS = 64
@@ -87,15 +90,18 @@ def space(dim: int = DIM, seed: int = SEED) -> Space:
     return _SPACES[dim, seed]
 
 
-def profiles(train: DataFrame, text: Column, lang: Column, key: Column, max_train: int = 24_000, max_langs: int = 256) -> tuple[list[str], np.ndarray]:
+def profiles(train: DataFrame, text: Column, lang: Column, key: Column, max_train: int = 24_000) -> tuple[list[str], np.ndarray]:
     """(languages in order, unit prototypes) from rows with a language."""
     rows = train.select(text.cast("string").alias("t"), lang.cast("string").alias("l"), F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 40)).alias("h")).where("l is not null")
-    langs = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
-    if not langs:
+    # the first by hash is drawn always: every language with a text has a prototype
+    least = F.min(F.when(F.col("t").rlike(r"\p{L}"), F.struct("h", F.xxhash64("t").alias("ht")))).alias("least")
+    langs = written(rows.groupBy("l").agg(F.count("*").alias("n"), least))
+    whole = langs.agg(F.sum("n").alias("n"), F.count("*").alias("langs")).first()
+    if not whole.langs:
         return [], np.zeros((0, DIM), np.float32)
-    share = min(1.0, max_train / sum(langs.values()))
-    rare = {k: min(1.0, max(share, max_train / (8 * len(langs)) / n)) for k, n in langs.items()}
-    keep = F.coalesce(*(F.when(F.col("l") == k, F.lit(int(v * (1 << 40)))) for k, v in rare.items()))
+    share = min(1.0, max_train / whole.n)
+    rate = F.least(F.lit(1.0), F.greatest(F.lit(share), F.lit(max_train / (8 * whole.langs)) / F.col("n")))
+    langs = langs.select("l", (rate * (1 << 40)).cast("long").alias("keep"), "least")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -114,13 +120,15 @@ def profiles(train: DataFrame, text: Column, lang: Column, key: Column, max_trai
         if sums:
             yield out()
 
-    counted = rows.where(F.col("h") < keep).select("t", "l").mapInArrow(count, "l string, gram long, n double").groupBy("l", "gram").agg(F.sum("n").alias("n")).toPandas()
-    own, made = sorted(counted["l"].unique()), []
-    for k in own:
-        part = counted[counted["l"] == k].sort_values("gram")
+    def bundle(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("gram")
         v = space().bundle(part["gram"].to_numpy(), part["n"].to_numpy())
-        made.append(v / max(1e-9, float(np.linalg.norm(v))))
-    return list(own), np.array(made, np.float32)
+        return pd.DataFrame({"l": part["l"].iloc[:1], "v": [(v / max(1e-9, float(np.linalg.norm(v)))).astype("<f4").tobytes()]})
+
+    drawn = rows.join(F.broadcast(langs), "l").where((F.col("h") < F.col("keep")) | F.coalesce(F.struct("h", F.xxhash64("t").alias("ht")) == F.col("least"), F.lit(False)))
+    counted = drawn.select("t", "l").mapInArrow(count, "l string, gram long, n double").groupBy("l", "gram").agg(F.sum("n").alias("n"))
+    made = sorted((r.l, bytes(r.v)) for r in counted.groupBy("l").applyInPandas(bundle, "l string, v binary").toLocalIterator())
+    return [k for k, _ in made], np.array([np.frombuffer(v, "<f4") for _, v in made], np.float32).reshape(-1, DIM)
 
 
 def predict(df: DataFrame, text: Column, keys: list[Column], learned: tuple[list[str], np.ndarray]) -> DataFrame:

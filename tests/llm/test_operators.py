@@ -177,6 +177,18 @@ def test_language_edge_cases(spark):
     assert langid.predict(docs_of(spark, ["the"]), F.col("text"), [F.col("doc_id")], none).first().lang_pred == "und"
 
 
+def test_every_language_has_a_prototype(spark):
+    words = ["".join(chr(97 + (i * k + k * k) % 26) for k in range(1, 12)) + chr(97 + i % 26) + chr(97 + i // 26) for i in range(300)]
+    rows = [(i * 2 + j, f"{w} {w}", f"l{i:03}") for i, w in enumerate(words) for j in range(2 - i % 2)]
+    rows += [(10_000, "12", "l001"), (10_001, None, "l003")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (24_000, 40):  # the second draws less than a document a language
+        langs, prototypes = langid.profiles(df, F.col("text"), F.col("lang"), F.col("doc_id"), max_train=most)
+        assert langs == [f"l{i:03}" for i in range(300)] and prototypes.shape == (300, langid.DIM)
+        found = langid.predict(df.where("doc_id < 10000"), F.col("text"), [F.col("lang")], (langs, prototypes)).collect()
+        assert all(x.lang_pred == x.lang for x in found) and len(found) == 450
+
+
 # 4: top-k
 
 
