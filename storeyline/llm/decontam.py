@@ -12,7 +12,8 @@ further passes over the documents. The documents are not shuffled.
 
 Defined results: null and empty texts and items match nothing; items of fewer than q normalised
 characters must occur exactly, between word borders; where the bound would fall below 1, e is
-lowered until it is 1. Repeated rows each have their matches. Of overlapping matches of one item
+lowered until it is 1. Items with a null id are found like others and reported with a null item_id,
+equal texts among them once. Repeated rows each have their matches. Of overlapping matches of one item
 the one of fewest edits is kept, then the first.
 """
 
@@ -78,7 +79,7 @@ def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Index:
-    ids: list[int]
+    ids: list[int | None]
     items: list[np.ndarray]
     errors: np.ndarray
     bounds: np.ndarray  # shared q-grams needed
@@ -87,10 +88,10 @@ class Index:
     item_of: np.ndarray
     pos_of: np.ndarray
     seen: np.ndarray  # _FILTER flags by a hash's high bits
-    short: list[tuple[int, str]]
+    short: list[tuple[int | None, str]]
 
 
-def index(items: list[tuple[int, str]], q: int = Q, per_error: int = PER_ERROR) -> Index:
+def index(items: list[tuple[int | None, str]], q: int = Q, per_error: int = PER_ERROR) -> Index:
     ids, kept, short = [], [], []
     for i, text in items:
         codes, _ = normalised(text)
@@ -144,17 +145,17 @@ def align(item: np.ndarray, text: np.ndarray, limit: int) -> tuple[int, int, int
     return (edits, start, int(diag[best]) + m) if edits <= limit else None
 
 
-def find(texts: list[str | None], own: Index, q: int = Q) -> list[list[tuple[int, int, int, int]]]:
+def find(texts: list[str | None], own: Index, q: int = Q) -> list[list[tuple[int | None, int, int, int]]]:
     """For each text (item, start, end, edits), in code points of the text."""
-    out: list[list[tuple[int, int, int, int]]] = []
+    out: list[list[tuple[int | None, int, int, int]]] = []
     for text in texts:
-        found: list[tuple[int, int, int, int]] = []
+        found: list[tuple[int | None, int, int, int, object]] = []  # the last tells items without an id apart
         codes, at = normalised(text)
         for i, word in own.short:
             flat = f" {codes.tobytes().decode('utf-32-le', 'surrogatepass')} "
             k = flat.find(f" {word} ")
             if k >= 0:
-                found.append((i, int(at[k]), int(at[k + len(word) - 1]) + 1, 0))
+                found.append((i, int(at[k]), int(at[k + len(word) - 1]) + 1, 0, word if i is None else None))
         hashes = gram_hashes(codes, q)
         where = np.flatnonzero(own.seen[(hashes >> np.uint64(42)).astype(np.int64)]) if len(own.grams) else np.zeros(0, int)
         if len(where):
@@ -176,30 +177,34 @@ def find(texts: list[str | None], own: Index, q: int = Q) -> list[list[tuple[int
                 if got := align(own.items[x], codes[lo:hi], e):
                     edits, s, t = got
                     if t > s:
-                        found.append((own.ids[x], int(at[lo + s]), int(at[lo + t - 1]) + 1, edits))
-        best: list[tuple[int, int, int, int]] = []
+                        found.append((own.ids[x], int(at[lo + s]), int(at[lo + t - 1]) + 1, edits, x if own.ids[x] is None else None))
+        best: list[tuple[int | None, int, int, int, object]] = []
         for f in sorted(found, key=lambda f: (f[3], f[1], f[2])):
-            if not any(b[0] == f[0] and f[1] < b[2] and b[1] < f[2] for b in best):
+            if not any(b[0] == f[0] and b[4] == f[4] and f[1] < b[2] and b[1] < f[2] for b in best):
                 best.append(f)
-        out.append(sorted(best))
+        out.append(sorted((f[:4] for f in best), key=_nulls_last))
     return out
 
 
+def _nulls_last(row: tuple) -> tuple:
+    return row[0] is None, row[0] or 0, *row[1:]
+
+
 def _blocks(benchmark: DataFrame, item_chars: int) -> Iterator:
     """Broadcasts of (item_id, text), each of a bounded number of characters."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and length(text) > 0")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
     n = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-n // max(1, item_chars)))
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield benchmark.sparkSession.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in part.toLocalIterator()}))
+        yield benchmark.sparkSession.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in part.toLocalIterator()}, key=_nulls_last))
 
 
 def contaminated(docs: DataFrame, text: Column, keys: list[Column], benchmark: DataFrame, item_chars: int = ITEM_CHARS) -> DataFrame:
     """``keys`` with item_id, start, end, edits: one row a match; documents without one have none."""
     source = docs.select(*keys, text.cast("string").alias("__text"))
     names = source.columns[:-1]
-    schema = source.drop("__text").withColumns({c: F.lit(0).cast("long") for c in ("item_id", "start", "end", "edits")}).schema
+    schema = source.drop("__text").withColumns({c: F.lit(None if c == "item_id" else 0).cast("long") for c in ("item_id", "start", "end", "edits")}).schema
     out = None
     for shared in _blocks(benchmark, item_chars):
 
@@ -208,8 +213,8 @@ def contaminated(docs: DataFrame, text: Column, keys: list[Column], benchmark: D
             for batch in batches:
                 found = find(batch.column(len(names)).to_pylist(), own)
                 row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
-                flat = np.array([m for f in found for m in f], np.int64).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(len(names))), *(pa.array(flat[:, c]) for c in range(4))], names=[*names, "item_id", "start", "end", "edits"])
+                flat = [m for f in found for m in f]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(len(names))), *(pa.array([m[c] for m in flat], pa.int64()) for c in range(4))], names=[*names, "item_id", "start", "end", "edits"])
 
         here = source.mapInArrow(run, schema)
         out = here if out is None else out.unionByName(here)

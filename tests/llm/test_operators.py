@@ -425,6 +425,17 @@ def test_contaminated(spark):
     assert decontam.contaminated(df, F.col("text"), [F.col("doc_id")], bench.where("false")).count() == 0
 
 
+def test_items_without_an_id(spark):
+    r = random.Random(6)
+    long, other = prose(r, 20), prose(r, 20)
+    bench = spark.createDataFrame([(None, long), (None, long), (None, other), (None, "Zur Tür"), (3, other), (None, None)], "item_id long, text string")
+    df = docs_of(spark, [f"so {long} it", f"{other} {long}", "Geh zur Tür", prose(r, 30)])
+    for chars in (8_000_000, 100):
+        rows = decontam.contaminated(df, F.col("text"), [F.col("doc_id")], bench, chars).collect()
+        assert sorted((x.doc_id, str(x.item_id)) for x in rows) == [(0, "None"), (1, "3"), (1, "None"), (1, "None"), (2, "None")]
+        assert [x.doc_id for x in decontam.clean(df, "text", bench, chars).collect()] == [3]
+
+
 # 10: near duplicates
 
 
