@@ -19,6 +19,7 @@ the one of fewest edits is kept, then the first.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -151,11 +152,12 @@ def find(texts: list[str | None], own: Index, q: int = Q) -> list[list[tuple[int
     for text in texts:
         found: list[tuple[int | None, int, int, int, object]] = []  # the last tells items without an id apart
         codes, at = normalised(text)
+        flat = f" {codes.tobytes().decode('utf-32-le', 'surrogatepass')} " if own.short else ""
         for i, word in own.short:
-            flat = f" {codes.tobytes().decode('utf-32-le', 'surrogatepass')} "
             k = flat.find(f" {word} ")
-            if k >= 0:
+            while k >= 0:
                 found.append((i, int(at[k]), int(at[k + len(word) - 1]) + 1, 0, word if i is None else None))
+                k = flat.find(f" {word} ", k + len(word) + 1)
         hashes = gram_hashes(codes, q)
         where = np.flatnonzero(own.seen[(hashes >> np.uint64(42)).astype(np.int64)]) if len(own.grams) else np.zeros(0, int)
         if len(where):
@@ -178,11 +180,15 @@ def find(texts: list[str | None], own: Index, q: int = Q) -> list[list[tuple[int
                     edits, s, t = got
                     if t > s:
                         found.append((own.ids[x], int(at[lo + s]), int(at[lo + t - 1]) + 1, edits, x if own.ids[x] is None else None))
-        best: list[tuple[int | None, int, int, int, object]] = []
+        best: list[tuple[int | None, int, int, int]] = []
+        taken: dict[tuple, list[tuple[int, int]]] = {}  # apart and in order
         for f in sorted(found, key=lambda f: (f[3], f[1], f[2])):
-            if not any(b[0] == f[0] and b[4] == f[4] and f[1] < b[2] and b[1] < f[2] for b in best):
-                best.append(f)
-        out.append(sorted((f[:4] for f in best), key=_nulls_last))
+            spans = taken.setdefault((f[0], f[4]), [])
+            after = bisect_left(spans, (f[1], f[2]))
+            if (after == 0 or spans[after - 1][1] <= f[1]) and (after == len(spans) or f[2] <= spans[after][0]):
+                spans.insert(after, (f[1], f[2]))
+                best.append(f[:4])
+        out.append(sorted(best, key=_nulls_last))
     return out
 
 

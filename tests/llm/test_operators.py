@@ -436,6 +436,15 @@ def test_items_without_an_id(spark):
         assert [x.doc_id for x in decontam.clean(df, "text", bench, chars).collect()] == [3]
 
 
+def test_short_items_have_every_match():
+    own = decontam.index([(1, "zur Tür"), (2, "a b a"), (3, "Xy")])
+    text = "Zur Tür, zur  TÜR! a b a b a. xy xyz Xy xy zur Türe. zur tür"
+    got = [(i, text[s:t], e) for i, s, t, e in decontam.find([text], own)[0]]
+    assert got == [(1, "Zur Tür", 0), (1, "zur  TÜR", 0), (1, "zur tür", 0), (2, "a b a", 0), (3, "xy", 0), (3, "Xy", 0), (3, "xy", 0)]
+    many = decontam.find(["xy " * 60_000], own)[0]
+    assert [(x[1], x[2]) for x in many] == [(3 * i, 3 * i + 2) for i in range(60_000)]
+
+
 # 10: near duplicates
 
 
