@@ -118,7 +118,8 @@ def block_best(q_ids: np.ndarray, q: np.ndarray, q_norm: np.ndarray, least: np.n
         scores = _products(q[rows], c[:upto], float(q_norm[rows].max()) * longest)
         for i, s in zip(rows, scores, strict=True):
             if upto > 4 * k + 4:
-                border = np.partition(s, upto - k - 1)[upto - k - 1]  # own row included, so one more
+                s = np.where(c_ids[:upto] == q_ids[i], np.iinfo(np.int64).min, s)  # the query's own rows, however many
+                border = np.partition(s, upto - k)[upto - k]
                 hit = np.flatnonzero(s >= border)
                 keep(i, c_ids[hit], s[hit])
             else:

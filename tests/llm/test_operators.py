@@ -239,6 +239,18 @@ def test_top_k_of_few_and_large(spark):
     assert topk._products(q, q, 2.0**61)[0, 0] == (2**30 + 1) ** 2 + 1  # beyond what doubles hold
 
 
+def test_several_vectors_of_the_querys_own_id_take_no_place():
+    rng = np.random.default_rng(8)
+    m = rng.integers(-50, 50, (60, 4))
+    ids = np.arange(60)
+    m[:3], ids[:3] = [[90, 90, 90, 90], [90, 90, 90, 89], [90, 90, 89, 90]], 7
+    m[7 + 3], ids[7] = [1, 1, 1, 1], 7
+    norms = np.sqrt((m * m).sum(1))
+    got = topk.block_best(np.array([7]), m[:1], norms[:1], np.array([-(2**62)]), ids, m, norms, 5)
+    want = sorted(((-int(s), int(i)) for i, s in zip(ids, m @ m[0], strict=True) if i != 7))[:5]
+    assert [(7, i, -s) for s, i in want] == got
+
+
 # 5: tool calls
 
 
