@@ -3,7 +3,7 @@
 Only DataFrame functions: nothing here leaves the JVM.
 
 Events. An assistant turn whose text is a JSON object with ``tool_calls`` [{id, name, arguments}]
-holds calls; a turn of role ``tool`` whose text is {tool_call_id, content} is a result. In plain
+holds calls, and a message after them where its ``content`` is not null; a turn of role ``tool`` whose text is {tool_call_id, content} is a result. In plain
 conversations a user turn t is read as the call ``t`` of the tool ``reply`` with the argument
 ``text``, and an assistant turn t as the result of call ``t - 1``. Everything else is a message.
 
@@ -69,6 +69,8 @@ def events(turns: DataFrame) -> DataFrame:
         return F.array(F.struct(F.lit(0).alias("seq"), F.lit(kind).alias("kind"), call_id.alias("call_id"), name.alias("name"), arguments.alias("arguments"), content.alias("content"))).cast(_EVENT)
 
     calls = F.transform("p.tool_calls", lambda c, i: F.struct(i.alias("seq"), F.lit("call").alias("kind"), c["id"].alias("call_id"), c["name"].alias("name"), c["arguments"].alias("arguments"), none.alias("content"))).cast(_EVENT)
+    beside = F.transform(one("message", content=F.col("p.content")), lambda e: e.withField("seq", F.size("p.tool_calls")))
+    calls = F.when(F.col("p.content").isNull(), calls).otherwise(F.concat(calls, beside.cast(_EVENT)))
     said = F.concat(F.lit('{"text":'), quoted(F.col("text")), F.lit("}"))
     found = (
         F.when((F.col("role") == "assistant") & (F.size("p.tool_calls") > 0), calls)

@@ -277,6 +277,17 @@ def test_tool_calls(spark):
     assert toolcalls.linked(df.where("false")).count() == 0
 
 
+def test_text_beside_tool_calls_is_a_message(spark):
+    calls = [{"id": "x", "name": "reply", "arguments": {"text": "a"}}, {"id": "y", "name": "reply", "arguments": {"text": "b"}}]
+    rows = [(1, 1, "assistant", json.dumps({"content": 'I "look"', "tool_calls": calls})), (1, 2, "tool", json.dumps({"tool_call_id": "y", "content": "3"})), (2, 1, "assistant", json.dumps({"content": None, "tool_calls": calls}))]
+    out = toolcalls.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    at = {(r.conv_id, r.turn, r.seq): r for r in out}
+    assert sorted(at) == [(1, 1, 0), (1, 1, 1), (1, 1, 2), (1, 2, 0), (2, 1, 0), (2, 1, 1)] and len(out) == 6
+    said = at[1, 1, 2]
+    assert said.kind == "message" and said.json == '{"content":"I \\"look\\"","role":"assistant"}' and said.call_id is None and said.valid and not said.linked
+    assert at[1, 1, 0].kind == at[1, 1, 1].kind == "call" and at[1, 1, 1].linked and (said.order_turn, said.order_rank) == (1, 0)
+
+
 # 6: toxicity
 
 
