@@ -20,22 +20,26 @@ def _mask(r) -> np.ndarray:
 
 
 def thin(mask: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """One-pixel skeleton: in two alternating half-steps pixels go that are simple border points."""
-    m = np.pad(mask.astype(np.uint8), 1)
+    """One-pixel skeleton by the two-step thinning of Guo and Hall in the form of Lam, Lee and Suen's survey.
+
+    x[0] .. x[7] are the neighbours from the east, against the clock. A pixel goes if exactly one
+    run of neighbours meets it, if it is at an edge but no line's end, and, step by step, if it faces
+    north-east or south-west."""
+    m = np.pad(mask.astype(bool), 1)
     for _ in range(rounds):
         gone = 0
-        for half in (0, 1):
-            ring = [m[:-2, 1:-1], m[:-2, 2:], m[1:-1, 2:], m[2:, 2:], m[2:, 1:-1], m[2:, :-2], m[1:-1, :-2], m[:-2, :-2]]  # from above, clockwise
-            count = sum(r.astype(np.int8) for r in ring)
-            turns = sum(((ring[i] == 0) & (ring[(i + 1) % 8] == 1)).astype(np.int8) for i in range(8))
-            n, e, s, w = ring[0], ring[2], ring[4], ring[6]
-            loose = ((n & e & s) == 0) & ((e & s & w) == 0) if half == 0 else ((n & e & w) == 0) & ((n & s & w) == 0)
-            drop = (m[1:-1, 1:-1] == 1) & (count >= 2) & (count <= 6) & (turns == 1) & loose
-            m[1:-1, 1:-1][drop] = 0
+        for half in (0, 4):
+            x = [m[1:-1, 2:], m[:-2, 2:], m[:-2, 1:-1], m[:-2, :-2], m[1:-1, :-2], m[2:, :-2], m[2:, 1:-1], m[2:, 2:]]
+            runs_met = sum((~x[i] & (x[i + 1] | x[(i + 2) % 8])).astype(np.int8) for i in (0, 2, 4, 6))
+            pairs = [sum((x[i] | x[(i + s) % 8]).astype(np.int8) for i in (0, 2, 4, 6)) for s in (1, -1)]
+            few = np.minimum(*pairs)
+            faces = ~((x[1 + half] | x[2 + half] | ~x[(7 + half) % 8]) & x[half])
+            drop = m[1:-1, 1:-1] & (runs_met == 1) & (few >= 2) & (few <= 3) & faces
+            m[1:-1, 1:-1] &= ~drop
             gone += int(drop.sum())
         if not gone:
             break
-    return m[1:-1, 1:-1] > 0
+    return m[1:-1, 1:-1]
 
 
 def runs(mask: np.ndarray) -> np.ndarray:
@@ -172,31 +176,28 @@ def wall_rects(masks: DataFrame) -> DataFrame:
 
 
 def merged_rects(rects: DataFrame, gap: float) -> DataFrame:
-    """Boxes of one direction in line and at most ``gap`` apart become one until none is left to join;
-    centre and thickness are means by length."""
+    """Boxes of one direction in line, of like thickness and at most ``gap`` apart become one until none is
+    left to join: the first such pair in order each time. Centre and thickness are means by length."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
         flat = pdf["orient"].iloc[0] == "h"
         c = ["x0", "x1", "y0", "y1"] if flat else ["y0", "y1", "x0", "x1"]
-        boxes = [list(map(float, b)) for b in pdf.sort_values("seq")[c].to_numpy()]
-        seqs, again = sorted(pdf["seq"]), True
-        while again:
-            again = False
-            for i in range(len(boxes)):
-                for j in range(i + 1, len(boxes)):
-                    a, b = boxes[i], boxes[j]
-                    mid = abs((a[2] + a[3]) - (b[2] + b[3])) / 2
-                    if mid <= 0.5 * min(a[3] - a[2], b[3] - b[2]) and max(a[0], b[0]) - min(a[1], b[1]) <= gap:
-                        la, lb = a[1] - a[0], b[1] - b[0]
-                        centre = ((a[2] + a[3]) * la + (b[2] + b[3]) * lb) / 2 / max(la + lb, 1e-9)
-                        half = ((a[3] - a[2]) * la + (b[3] - b[2]) * lb) / 2 / max(la + lb, 1e-9)
-                        boxes[i] = [min(a[0], b[0]), max(a[1], b[1]), centre - half, centre + half]
-                        del boxes[j], seqs[j]
-                        again = True
-                        break
-                if again:
-                    break
-        out = pd.DataFrame(boxes, columns=c)
+        v, seqs = pdf[c].to_numpy(float), pdf["seq"].to_numpy()
+        low, high, mid, thick = v[:, 0], v[:, 1], (v[:, 2] + v[:, 3]) / 2, v[:, 3] - v[:, 2]
+        while True:
+            off, other = np.abs(mid[:, None] - mid), np.abs(thick[:, None] - thick)
+            fits = (off <= 0.5 * np.minimum(thick[:, None], thick)) & (other <= 0.6 * np.maximum(thick[:, None], thick)) & (np.maximum(low[:, None], low) - np.minimum(high[:, None], high) <= gap)
+            pair = np.flatnonzero(np.triu(fits, 1))
+            if not len(pair):
+                break
+            i, j = divmod(int(pair[0]), len(mid))
+            size = high - low
+            part = size[[i, j]] / max(size[i] + size[j], 1e-9)
+            mid[i], thick[i] = part @ mid[[i, j]], part @ thick[[i, j]]
+            low[i], high[i] = min(low[i], low[j]), max(high[i], high[j])
+            low, high, mid, thick, seqs = (np.delete(x, j) for x in (low, high, mid, thick, seqs))
+        out = pd.DataFrame(dict(zip(c, (low, high, mid - thick / 2, mid + thick / 2), strict=True)))
         return out.assign(plan_id=pdf["plan_id"].iloc[0], seq=seqs, orient=pdf["orient"].iloc[0])[["plan_id", "seq", "x0", "y0", "x1", "y1", "orient"]]
 
     return rects.groupBy("plan_id", "orient").applyInPandas(run, "plan_id long, seq long, x0 double, y0 double, x1 double, y1 double, orient string")

@@ -35,8 +35,9 @@ def stamp_lines(texts: DataFrame) -> DataFrame:
 
 
 def stamps(texts: DataFrame, rooms: DataFrame) -> DataFrame:
-    """(plan_id, label, title, area, area_text, checked): each room's stamp. ``texts`` has label,
-    ``rooms`` has plan_id, label, area_px, mm_per_px.
+    """(plan_id, label, title, others, area, area_text, checked): each room's stamp. ``texts`` has label,
+    ``rooms`` has plan_id, label, area_px, mm_per_px. The title is the first line, a number with the
+    text that follows it; other lines ("Parkett") stay apart.
 
     Lines within 2.5 heights below one another and 6 beside form a block; the block of most lines,
     then of most confidence, is the stamp. An area off the measured one by more than 8 % is put
@@ -51,10 +52,16 @@ def stamps(texts: DataFrame, rooms: DataFrame) -> DataFrame:
     blocks = t.groupBy(*by, "block").agg(F.count("*").alias("n"), F.sum("conf").alias("sure"), F.array_sort(F.collect_list(F.struct("mid", "seq", "kind", "value", "area"))).alias("lines"))
     block = best(blocks, by, [F.desc("n"), F.desc("sure"), F.col("block")]).where((F.col("n") > 1) | (F.col("lines")[0]["kind"] != "nr"))
     block = block.join(rooms, by).withColumn("measured", F.col("area_px") * F.col("mm_per_px") * F.col("mm_per_px") / 1e6)
-    title = F.array_join(F.transform(F.filter("lines", lambda s: s["kind"] != "area"), lambda s: s["value"]), " ")
-    area = F.filter("lines", lambda s: s["kind"] == "area")[0]["area"]
-    block = block.withColumns({"title": title, "read": F.try_element_at(F.transform(F.filter("lines", lambda s: s["kind"] == "area"), lambda s: s["area"]), F.lit(1))})
+    said = F.filter("lines", lambda s: s["kind"] != "area")
+    # a text right after a number, in the order of all lines, is on the number's line
+    joins = lambda i: (i > 0) & (F.col("lines")[i]["kind"] == "text") & (F.try_element_at("lines", i)["kind"] == "nr")
+    merged = F.filter(
+        F.transform("lines", lambda s, i: F.when((s["kind"] == "area") | F.coalesce(joins(i), F.lit(False)), None).when((s["kind"] == "nr") & (F.try_element_at("lines", i + 2)["kind"] == "text"), F.concat_ws(" ", s["value"], F.try_element_at("lines", i + 2)["value"])).otherwise(s["value"])),
+        lambda x: x.isNotNull(),
+    )
+    block = block.withColumn("named", merged)
+    block = block.withColumns({"title": F.when(F.size(said) > 0, F.col("named")[0]).otherwise(F.lit("")), "others": F.array_join(F.slice("named", 2, 100), "; "), "read": F.try_element_at(F.transform(F.filter("lines", lambda s: s["kind"] == "area"), lambda s: s["area"]), F.lit(1))})
     off = F.abs(F.col("read") - F.col("measured")) > 0.08 * F.col("measured")
     block = block.withColumn("area", F.when(off, F.coalesce(S.digit_drops(F.col("read"), F.col("measured")), F.col("read"))).otherwise(F.col("read")))
     fits = F.abs(F.col("area") - F.col("measured")) <= 0.08 * F.col("measured")
-    return block.select(*by, "title", "area", S.area_text("area").alias("area_text"), F.coalesce(fits, F.lit(True)).alias("checked"))
+    return block.select(*by, "title", "others", "area", S.area_text("area").alias("area_text"), F.coalesce(fits, F.lit(True)).alias("checked"))

@@ -167,7 +167,7 @@ def geo_bridges(spark: SparkSession, _: str) -> DataFrame:
 
 def _rooms(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     runs = _rows(spark, [(1, 1, y, 0, 199) for y in range(0, 200)] + [(1, 2, y, 210, 499) for y in range(0, 200)], "plan_id long, label long, y int, xa int, xb int")
-    texts = [("O1 Kuche", 20, 40, 80.0), ("16.0 m2", 20, 62, 90.0), ("Wohnen", 260, 40, 90.0), ("235.2 m²", 260, 62, 90.0), ("fern", 260, 180, 90.0), ("draussen", 600, 40, 90.0)]
+    texts = [("01", 20, 24, 90.0), ("Kuche", 20, 40, 80.0), ("Parkett", 20, 54, 80.0), ("16.0 m2", 20, 70, 90.0), ("Wohnen", 260, 40, 90.0), ("235.2 m²", 260, 62, 90.0), ("fern", 260, 180, 90.0), ("draussen", 600, 40, 90.0)]
     return runs, _rows(spark, [(1, i, t, float(x), float(y), float(x + 60), float(y + 14), c) for i, (t, x, y, c) in enumerate(texts)], "plan_id long, seq long, text string, x0 double, y0 double, x1 double, y1 double, conf double")
 
 
@@ -310,7 +310,7 @@ def geo_wall_rects(spark: SparkSession, _: str) -> DataFrame:
 
 
 def geo_merged_rects(spark: SparkSession, _: str) -> DataFrame:
-    rects = _rows(spark, [(1, 1, 0.0, 0.0, 100.0, 10.0, "h"), (1, 2, 104.0, 0.0, 300.0, 10.0, "h"), (1, 3, 320.0, 0.0, 400.0, 10.0, "h"), (1, 4, 0.0, 50.0, 100.0, 60.0, "h")], RECTS)
+    rects = _rows(spark, [(1, 1, 0.0, 0.0, 100.0, 10.0, "h"), (1, 2, 104.0, 0.0, 300.0, 10.0, "h"), (1, 3, 320.0, 0.0, 400.0, 10.0, "h"), (1, 4, 0.0, 50.0, 100.0, 60.0, "h"), (1, 5, 102.0, 40.0, 300.0, 70.0, "h")], RECTS)
     return raster.merged_rects(rects, 8.0).select("seq", "x0", "y0", "x1", "y1")
 
 
@@ -365,12 +365,25 @@ def geo_layout(spark: SparkSession, _: str) -> DataFrame:
     return drawing.layout(drawing.bounds(none, plans), plans).select("plan_id", "page_w", "scale", F.round("points_per_px", 6).alias("k"))
 
 
-def geo_ifc(spark: SparkSession, _: str) -> DataFrame:
+def _ifc(spark: SparkSession) -> DataFrame:
     rects, openings, plans = _model(spark)
-    storeys = _rows(spark, [(1, 0, "EG", 0.0, True)], "plan_id long, i int, name string, elevation double, is_plan boolean")
-    out = ifc.ifc(bim.wall_names(bim.walls(rects, plans)), bim.opening_names(bim.opening_details(openings, rects, plans)), storeys, 2.5, "2000-01-01T00:00:00")
+    storeys = _rows(spark, [(1, 0, "UG", 2.5, -2.5, False), (1, 1, "EG", 2.8, 0.0, True)], "plan_id long, i int, name string, height double, elevation double, is_plan boolean")
+    xy, box = "array<struct<x:double,y:double>>", [{"x": 0.3, "y": 0.3}, {"x": 4.0, "y": 0.3}, {"x": 4.0, "y": 3.0}, {"x": 0.3, "y": 3.0}]
+    rooms = _rows(spark, [(1, 1, "Küche", 9.99, box), (1, 2, "Bad", 9.99, box)], f"plan_id long, label long, name string, area double, outline {xy}")
+    slabs = _rows(spark, [(1, 1, box, 0.3, False)], f"plan_id long, seq long, outline {xy}, thickness double, lowest boolean")
+    p = "struct<x:double,y:double>"
+    edges = _rows(spark, [(1, 1, i, 0.27 * i, {"x": 0.0, "y": 0.27 * i}, {"x": 1.2, "y": 0.27 * i}) for i in range(12)], f"plan_id long, stair long, seq long, at double, p {p}, q {p}")
+    stairs = bim.stairs_steps(edges, _rows(spark, [(1, 2.4)], "plan_id long, height double"))
+    w, o = bim.wall_names(bim.walls(rects, plans)), bim.opening_names(bim.opening_details(openings, rects, plans))
+    return ifc.ifc(w, o, storeys, 2.5, "2000-01-01T00:00:00", rooms, slabs, stairs)
+
+
+def geo_ifc(spark: SparkSession, _: str) -> DataFrame:
     n = lambda kind: (F.size(F.split("ifc", f"={kind}\\(")) - 1).cast("long")
-    return out.select("plan_id", n("IFCWALL").alias("walls"), n("IFCDOOR").alias("doors"), n("IFCWINDOW").alias("windows"), n("IFCBUILDINGSTOREY").alias("storeys"), F.col("ifc").startswith("ISO-10303-21;").alias("framed"))
+    kinds = ["WALL", "DOOR", "WINDOW", "BUILDINGSTOREY", "SPACE", "SLAB", "STAIR", "RELVOIDSELEMENT", "RELFILLSELEMENT", "ELEMENTQUANTITY", "PROPERTYSET"]
+    defined, used = F.regexp_extract_all("ifc", F.lit(r"(?m)^#(\d+)="), 1), F.regexp_extract_all("ifc", F.lit(r"#(\d+)(?!\d*=)"), 1)
+    loose = F.size(F.array_except(used, defined)).cast("long")
+    return _ifc(spark).select("plan_id", *(n(f"IFC{k}").alias(f"n_{k.lower()}") for k in kinds), loose.alias("loose_references"), F.col("ifc").startswith("ISO-10303-21;").alias("framed"))
 
 
 # -- openings, drawing content, angles
@@ -503,8 +516,8 @@ ORACLE_SQL = {
     "geo_stairs": _sql("plan_id, seq", [(1, s) for s in range(10, 16)]),
     "geo_classify": _sql("kind, seq, layer, mm_per_px", [("line", s, layer, None) for s, layer in _CHAIN] + [("arc", 1, "DOORS", None), ("arc", 2, "LINES", None), ("text", 1, "DIMENSIONS", None), ("scale", 1, None, 10.0)]),
     "geo_bridges": _sql("seq", [(1,), (2,), (4,), (5,)]),
-    "geo_room_names": _sql("plan_id, label, name", [(1, 1, "O1 Kuche"), (1, 2, "Wohnen / fern")]),
-    "geo_stamps": _sql("plan_id, label, title, area, area_text, checked", [(1, 1, "01 Küche", 16.0, "16.0 m²", True), (1, 2, "Wohnen", 23.2, "23.2 m²", True)]),
+    "geo_room_names": _sql("plan_id, label, name", [(1, 1, "Kuche / Parkett"), (1, 2, "Wohnen / fern")]),
+    "geo_stamps": _sql("plan_id, label, title, others, area, area_text, checked", [(1, 1, "01 Küche", "Parkett", 16.0, "16.0 m²", True), (1, 2, "Wohnen", "", 23.2, "23.2 m²", True)]),
     "geo_host": "with o as (" + _sql("seq, kind, x0, y0, x1, y1, orient", _OPENINGS) + "), r as (" + _sql("host, x0, y0, x1, y1, orient", _RECTS) + """), m as (
         select o.seq, host, (least(o.x1, r.x1) - greatest(o.x0, r.x0)) * (least(o.y1, r.y1) - greatest(o.y0, r.y0)) as area from o join r on o.orient = r.orient
         and least(o.x1, r.x1) > greatest(o.x0, r.x0) and least(o.y1, r.y1) > greatest(o.y0, r.y0)),
@@ -526,13 +539,13 @@ ORACLE_SQL = {
     "geo_components": _sql("label, area, x0, y0, cx, cy", [(1, 24, 1, 1, 4.5, 2.0), (2, 3, 3, 5, 3.0, 6.0), (3, 3, 6, 6, 7.0, 6.0)]),
     "geo_wall_rects": _sql("seq, x0, y0, x1, y1, orient", [(0, 1.0, 1.0, 9.0, 4.0, "h"), (1, 3.0, 5.0, 4.0, 8.0, "v"), (2, 6.0, 6.0, 9.0, 7.0, "h")]),
     "geo_skeleton": _sql("parts, tallest", [(3, 2)]),
-    "geo_merged_rects": _sql("seq, x0, y0, x1, y1", [(1, 0.0, 0.0, 300.0, 10.0), (3, 320.0, 0.0, 400.0, 10.0), (4, 0.0, 50.0, 100.0, 60.0)]),
+    "geo_merged_rects": _sql("seq, x0, y0, x1, y1", [(1, 0.0, 0.0, 300.0, 10.0), (3, 320.0, 0.0, 400.0, 10.0), (4, 0.0, 50.0, 100.0, 60.0), (5, 102.0, 40.0, 300.0, 70.0)]),
     "geo_circle": _sql("plan_id, cx, cy, r, fits", [(1, 5.0, 7.0, 3.0, True)]),
     "geo_simplify": _sql("i, x, y", [(0, 0.0, 0.0), (2, 10.0, 0.0), (5, 10.0, 10.0)]),
     "geo_otsu": _sql("plan_id, threshold", [(1, 12)]),
     "geo_ring_area": _sql("i, area", [(1, 6.0), (2, 4.0)]),
     "geo_layout": _sql("plan_id, page_w, scale, k", [(1, 1190.55, 100, 0.24), (2, 841.89, None, 3.420469), (3, 1190.55, 50, 0.566929)]),
-    "geo_ifc": _sql("plan_id, walls, doors, windows, storeys, framed", [(1, 4, 1, 2, 1, True)]),
+    "geo_ifc": _sql("plan_id, n_wall, n_door, n_window, n_buildingstorey, n_space, n_slab, n_stair, n_relvoidselement, n_relfillselement, n_elementquantity, n_propertyset, loose_references, framed", [(1, 4, 1, 2, 2, 2, 1, 1, 3, 3, 7, 8, 0, True)]),
     "geo_svg": _sql("plan_id, svg", [(1, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 20 10"><g class="l-LINES"><path d="M0 0L1 1Z"/></g><g class="l-SYMBOLS"><circle cx="5" cy="5" r="2"/></g><g class="l-DOORS"><path d="M10 0A10 10 0 0 1 0 10"/></g><g class="l-WALLS"><path d="M0 0L10 0.5M0 5L10 5"/></g><g class="l-TEXT"><text x="1" y="9" font-size="10">A &lt; B</text></g></svg>')]),
     "geo_dxf": "select 1 as plan_id, " + "replace('" + "|".join(["0", "SECTION", "2", "HEADER", "9", "$ACADVER", "1", "AC1024", "9", "$INSUNITS", "70", "4", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES", "0", "LINE", "8", "WALLS", "10", "0.0000", "20", "20.0000", "11", "20.0000", "21", "19.0000", "0", "ARC", "8", "DOORS", "10", "0.0000", "20", "20.0000", "40", "20.0000", "50", "-90.0000", "51", "-0.0000", "0", "ENDSEC", "0", "EOF", ""]) + "', '|', chr(10)) as dxf",
     "geo_distinct_openings": _sql("seq", [(1,), (3,), (5,), (6,)]),

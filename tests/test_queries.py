@@ -83,14 +83,35 @@ def test_stream_of_ocr_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("plan_id = 7").count() == 8
 
 
-def test_ifc_text():
-    from storeyline.sinks.ifc import stable_id, step_real, step_text, step_value
-
-    assert step_text("Tür 'a'\\") == "'T\\X2\\00FC\\X0\\r ''a''\\\\'"
-    assert step_text("😀") == "'\\X2\\D83DDE00\\X0\\'"
-    assert (step_real(-0.0000001), step_real(1.5), step_real(float("nan"))) == ("0.", "1.5", "0.")
-    assert step_value([None, True, 3, 0.5, "a"]) == "($,.T.,3,0.5,'a')"
-    assert len(stable_id(1, "wall", 2)) == 22 and stable_id(1) == stable_id(1) != stable_id(2)
+def test_step_values(spark):
+    from pyspark.sql import functions as F
+
+    from storeyline.sinks import ifc
+
+    said = spark.createDataFrame([("Tür 'a'\\",), ("😀",), ("",)], "t string").select(ifc.text(F.col("t")).alias("s")).collect()
+    assert [r.s for r in said] == ["'T\\X2\\00FC\\X0\\r ''a''\\\\'", "'\\X2\\D83DDE00\\X0\\'", "''"]
+    reals = spark.createDataFrame([(-0.0000001,), (1.5,), (float("nan"),), (12.0,), (-3.25,)], "v double").select(ifc.real(F.col("v")).alias("s")).collect()
+    assert [r.s for r in reals] == ["0.", "1.5", "0.", "12.", "-3.25"]
+    ids = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "plan_id long, k string").select(ifc._identifier(F.col("k")).alias("s")).collect()
+    assert len({r.s for r in ids}) == 3 and all(len(r.s) == 24 and r.s[1] in "0123" for r in ids)
+
+
+def test_ifc_references_are_whole(spark):
+    import re
+
+    from storeyline.plans.fixtures import _ifc
+
+    text = _ifc(spark).first().ifc
+    lines = text.split("\n")
+    assert "\x01" not in text and lines[0] == "ISO-10303-21;" and lines[-2:] == ["END-ISO-10303-21;", ""]
+    kinds = dict(re.match(r"#(\d+)=([A-Z0-9]+)\(", x).groups() for x in lines if x.startswith("#"))
+    assert list(map(int, kinds)) == list(range(1, len(kinds) + 1))
+    for x in lines:
+        if m := re.match(r"#\d+=IFCRELVOIDSELEMENT\('[^']{22}',\$,\$,\$,#(\d+),#(\d+)\);", x):
+            assert (kinds[m[1]], kinds[m[2]]) == ("IFCWALL", "IFCOPENINGELEMENT")
+        if "IFCRELCONTAINEDINSPATIALSTRUCTURE" in x:
+            held = re.search(r"\(((?:#\d+,?)+)\),#(\d+)\)", x)
+            assert sorted(kinds[i] for i in re.findall(r"\d+", held[1])) == sorted(["IFCWALL"] * 4 + ["IFCDOOR"] + ["IFCWINDOW"] * 2 + ["IFCSLAB", "IFCSTAIR"]) and kinds[held[2]] == "IFCBUILDINGSTOREY"
 
 
 def test_entry_is_whole_without_llm():
