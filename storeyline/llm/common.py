@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,19 @@ from pyspark.sql import functions as F
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
+_HELD: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one operator's tables at a time, so that a worker
+    that serves several operators in turn does not add them up."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,6 +39,8 @@ def scratch_dir(spark: SparkSession) -> str:
     Where that setting is absent (tests on one machine) a folder of the session is set once.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="storeyline-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -30,21 +49,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` written once as Parquet in shared storage and read back: its lineage ends there, and
-    a lost executor costs a re-read instead of the work before it."""
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``written`` and a function that deletes the table, for tables that are done with early."""
     path = scratch_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), lambda: _delete(df.sparkSession, path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in shared storage and read back: its lineage ends there, and
+    a lost executor costs a re-read instead of the work before it."""
+    return stored(df)[0]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _SCRATCH:
         try:
-            jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: the folder goes with the cluster's retention
             return
 
@@ -55,6 +83,14 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """The column cast to ``kind``, or nulls if the frame has none of that name."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
