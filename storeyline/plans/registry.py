@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from storeyline.plans import fixtures, kernels
+from storeyline.plans import fixtures, kernels, recognition
 
 
 def queries() -> dict:
-    return {**kernels.QUERIES, **fixtures.QUERIES}
+    return {**kernels.QUERIES, **fixtures.QUERIES, **recognition.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**kernels.ORACLE_SQL, **fixtures.ORACLE_SQL}
+    return {**kernels.ORACLE_SQL, **fixtures.ORACLE_SQL, **recognition.ORACLE_SQL}
