@@ -45,3 +45,18 @@ def class_iou(pixels: DataFrame) -> DataFrame:
     """(label, iou) from (truth, predicted, n) counts of pixels."""
     both = pixels.select(F.explode(F.array(F.struct(F.col("truth").alias("label"), F.col("n"), F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("predicted").alias("label"), F.when(F.col("truth") == F.col("predicted"), 0).otherwise(F.col("n")).alias("n"), F.lit(0).cast("long").alias("hit")))).alias("s")).select("s.*")
     return both.groupBy("label").agg((F.sum("hit") / F.sum("n")).alias("iou"))
+
+
+def measured_errors(matched: DataFrame, predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """(kind, n, width_error): the mean error of the widths of matched openings, in wall thicknesses; both tables have
+    width, ``truth`` wall_px."""
+    p = predicted.select("plan_id", "kind", "seq", "width")
+    t = truth.select("plan_id", "kind", F.col("seq").alias("truth_seq"), F.col("width").alias("t_width"), "wall_px")
+    met = matched.join(p, ["plan_id", "kind", "seq"]).join(t, ["plan_id", "kind", "truth_seq"])
+    return met.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("width") - F.col("t_width")) / F.col("wall_px")), 3).alias("width_error"))
+
+
+def angle_errors(angles: DataFrame) -> DataFrame:
+    """(n, mean, most): how far the found directions are from the true ones, modulo a quarter turn, in degrees."""
+    off = F.abs(F.pmod(F.col("found") - F.col("truth") + 45, F.lit(90.0)) - 45)
+    return angles.where("found is not null and truth is not null").agg(F.count("*").alias("n"), F.round(F.avg(off), 3).alias("mean"), F.round(F.max(off), 3).alias("most"))

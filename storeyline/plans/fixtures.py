@@ -546,7 +546,7 @@ ORACLE_SQL = {
     "geo_ring_area": _sql("i, area", [(1, 6.0), (2, 4.0)]),
     "geo_layout": _sql("plan_id, page_w, scale, k", [(1, 1190.55, 100, 0.24), (2, 841.89, None, 3.420469), (3, 1190.55, 50, 0.566929)]),
     "geo_ifc": _sql("plan_id, n_wall, n_door, n_window, n_buildingstorey, n_space, n_slab, n_stair, n_relvoidselement, n_relfillselement, n_elementquantity, n_propertyset, loose_references, framed", [(1, 4, 1, 2, 2, 2, 1, 1, 3, 3, 7, 8, 0, True)]),
-    "geo_svg": _sql("plan_id, svg", [(1, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 20 10"><g class="l-LINES"><path d="M0 0L1 1Z"/></g><g class="l-SYMBOLS"><circle cx="5" cy="5" r="2"/></g><g class="l-DOORS"><path d="M10 0A10 10 0 0 1 0 10"/></g><g class="l-WALLS"><path d="M0 0L10 0.5M0 5L10 5"/></g><g class="l-TEXT"><text x="1" y="9" font-size="10">A &lt; B</text></g></svg>')]),
+    "geo_svg": _sql("plan_id, svg", [(1, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 20 10" preserveAspectRatio="xMidYMid meet" class="vec">' + drawing.STYLE + '<rect width="20" height="10" fill="#fff"/><g class="l-LINES"><path d="M0 0L1 1Z"/></g><g class="l-SYMBOLS"><circle cx="5" cy="5" r="2"/></g><g class="l-DOORS"><path d="M10 0A10 10 0 0 1 0 10"/></g><g class="l-WALLS"><path d="M0 0L10 0.5M0 5L10 5"/></g><g class="l-TEXT"><text x="1" y="9" font-size="10">A &lt; B</text></g></svg>')]),
     "geo_dxf": "select 1 as plan_id, " + "replace('" + "|".join(["0", "SECTION", "2", "HEADER", "9", "$ACADVER", "1", "AC1024", "9", "$INSUNITS", "70", "4", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES", "0", "LINE", "8", "WALLS", "10", "0.0000", "20", "20.0000", "11", "20.0000", "21", "19.0000", "0", "ARC", "8", "DOORS", "10", "0.0000", "20", "20.0000", "40", "20.0000", "50", "-90.0000", "51", "-0.0000", "0", "ENDSEC", "0", "EOF", ""]) + "', '|', chr(10)) as dxf",
     "geo_distinct_openings": _sql("seq", [(1,), (3,), (5,), (6,)]),
     "geo_plausible_openings": _sql("seq, plausible", [(1, True), (2, True), (3, True), (4, True), (5, False), (6, False)]),

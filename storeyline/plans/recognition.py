@@ -7,9 +7,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeyline.operators import pixels, wallwork
+from storeyline.functions import scalars as S
+from storeyline.operators import bim, evaluate, perspective, pixels, wallwork
 from storeyline.operators.raster import MASKS
-from storeyline.plans.fixtures import _rows, _sql
+from storeyline.plans.fixtures import _model, _rows, _sql
+from storeyline.sinks import results
+from storeyline.sources import jobs
 from storeyline.sources.schemas import RECTS
 
 # -- pixels: a house of 60 x 40 px with walls of 4 px, a gap of 8 px in the lower wall and one inner wall
@@ -254,15 +257,110 @@ def geo_warnings(spark: SparkSession, _: str) -> DataFrame:
     return d.select("i", F.array_join(wallwork.warnings_of(F.col("w")), ",").alias("warnings"))
 
 
+def _with(**tables: str) -> str:
+    return "with " + ", ".join(f"{n} as ({q})" for n, q in tables.items()) + " "
+
+
+# -- results, perspective, jobs
+
+
+def geo_envelopes(spark: SparkSession, _: str) -> DataFrame:
+    rows = [(1, "<svg/>", ["b", "a", "b"], {"WALLS": 4}, "1:100", "mm", 10, 20, (4, 2), None, None), (2, "<svg/>", None, {}, None, "px", 10, 20, None, "no scale", None), (3, None, None, None, None, None, None, None, None, None, "unsupported file type: txt")]
+    df = _rows(spark, rows, "plan_id long, svg string, warnings array<string>, layers map<string,int>, scale_note string, unit string, width int, height int, summary struct<walls:int,doors:int>, model_error string, error string")
+    j = lambda path: F.get_json_object("json", path)
+    return results.envelopes(df).select("plan_id", j("$.ok").alias("ok"), j("$.warnings").alias("warnings"), j("$.layers.WALLS").alias("walls"), j("$.bim.available").alias("model"), F.coalesce(j("$.bim.reason"), j("$.detail")).alias("reason"), j("$.bim.summary.doors").alias("doors"))
+
+
+def geo_loaded(spark: SparkSession, _: str) -> DataFrame:
+    df = _rows(spark, [(1, 3600, 2000, 1, None), (2, 900, 500, 1, None), (3, None, None, None, "empty file")], "plan_id long, width int, height int, pages int, error string")
+    return results.loaded(df)
+
+
+def geo_obj(spark: SparkSession, _: str) -> DataFrame:
+    """Counts, the outermost corners, and that all faces name corners of their own box."""
+    rects, openings, plans = _model(spark)
+    w, o = bim.walls(rects, plans), bim.opening_details(openings, rects, plans)
+    pieces = bim.wall_boxes(w, o, 2.5)
+    lines = results.obj(w, pieces).select("plan_id", F.posexplode(F.split("obj", "\n")).alias("i", "line"))
+    kind = F.substring("line", 1, 2)
+    top = F.max(F.when(kind == "v ", F.split("line", " ")[2].cast("double")))
+    last = F.max(F.when(kind == "f ", F.array_max(F.transform(F.slice(F.split("line", " "), 2, 4), lambda x: x.cast("long")))))
+    n = lambda k: F.count_if(kind == k)
+    return lines.groupBy("plan_id").agg(n("v ").alias("corners"), n("f ").alias("faces"), n("o ").alias("parts"), top.alias("top"), last.alias("last_corner"))
+
+
+def geo_title_block(spark: SparkSession, _: str) -> DataFrame:
+    df = _rows(spark, [(1, "file", "Grundriss " + "x" * 80, 100, "from dimensions", "2024-03-09"), (2, "file", None, None, None, "2024-12-01")], "plan_id long, title string, plan_title string, scale int, scale_note string, date string")
+    return results.title_block(df.withColumn("date", F.to_date("date"))).select("plan_id", F.array_join("lines", "|").alias("lines"))
+
+
+def geo_scale_bar(spark: SparkSession, _: str) -> DataFrame:
+    df = _rows(spark, [(100, 1.0), (50, 2.0)], "scale int, step double").select("scale", F.inline(results.scale_bar(F.col("scale"), F.col("step"), F.lit(10.0))))
+    return df.select("scale", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"), "filled")
+
+
+def geo_measured_errors(spark: SparkSession, _: str) -> DataFrame:
+    box = "plan_id long, kind string, seq long, width double"
+    predicted = _rows(spark, [(1, "door", 1, 90.0), (1, "door", 2, 100.0), (1, "window", 1, 50.0)], box)
+    truth = _rows(spark, [(1, "door", 7, 95.0, 10.0), (1, "door", 8, 90.0, 10.0), (1, "window", 9, 50.0, 10.0)], box + ", wall_px double")
+    matched = _rows(spark, [(1, "door", 1, 7), (1, "door", 2, 8), (1, "window", 1, 9)], "plan_id long, kind string, seq long, truth_seq long")
+    return evaluate.measured_errors(matched, predicted, truth)
+
+
+_ANGLES = [(1, 10.0, 9.0), (2, 89.5, 0.5), (3, None, 3.0), (4, -44.0, 45.0)]
+
+
+def geo_angle_errors(spark: SparkSession, _: str) -> DataFrame:
+    return evaluate.angle_errors(_rows(spark, _ANGLES, "plan_id long, found double, truth double"))
+
+
+def _seen(matrix: np.ndarray) -> list[tuple]:
+    """A grid of wall edges as a camera of the given homography sees it."""
+    see = lambda x, y: (lambda v: (float(v[0] / v[2]), float(v[1] / v[2])))(matrix @ [x, y, 1.0])
+    grid = range(100, 901, 100)
+    return [(1, i, *see(*a), *see(*b)) for i, (a, b) in enumerate([((100, k), (900, k)) for k in grid] + [((k, 100), (k, 900)) for k in grid])]
+
+
+def geo_perspective(spark: SparkSession, _: str) -> DataFrame:
+    """After the correction, edges that were parallel are parallel to the axes again."""
+    camera = np.array([[1.0, 0.05, 0.0], [0.02, 1.0, 0.0], [1e-4, 6e-5, 1.0]])
+    rows = _rows(spark, _seen(camera), "plan_id long, seq long, x1 double, y1 double, x2 double, y2 double")
+    found = perspective.corrections(rows, _rows(spark, [(1, 1000.0, 1000.0)], "plan_id long, width double, height double"))
+    at = lambda x, y: S.homography(F.col("matrix"), F.col(x), F.col(y))
+    out = rows.join(found, "plan_id").select("plan_id", "convergence", at("x1", "y1").alias("p"), at("x2", "y2").alias("q"))
+    slant = F.least(F.abs(F.col("p.x") - F.col("q.x")), F.abs(F.col("p.y") - F.col("q.y"))) / F.hypot(F.col("p.x") - F.col("q.x"), F.col("p.y") - F.col("q.y"))
+    return out.groupBy("plan_id").agg((F.max(slant) < 0.002).alias("straight"), (F.max("convergence") > 0.8).alias("was_bent"), F.count("*").alias("n"))
+
+
+def geo_jobs(spark: SparkSession, _: str) -> DataFrame:
+    plans = _rows(spark, [("train", i, 100 + i) for i in range(5)] + [("val", i, 200 + i) for i in range(3)], "split string, pos long, idx long")
+
+    def made(idx: int, seed: int) -> dict | None:
+        if idx == 101:
+            raise ValueError("no outline")
+        return None if idx == 102 else {"wall_px": idx / 10}
+
+    return jobs.run_jobs(jobs.jobs(spark, {"train": 7, "val": 2}, plans), made)
+
+
 _NAMES = [n for n in list(globals()) if n.startswith("geo_")]
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 
-def _with(**tables: str) -> str:
-    return "with " + ", ".join(f"{n} as ({q})" for n, q in tables.items()) + " "
-
+_LONG = "Grundriss " + "x" * 50
 
 ORACLE_SQL = {
+    "geo_envelopes": _sql("plan_id, ok, warnings, walls, model, reason, doors", [(1, "true", '["b","a"]', "4", "true", None, "2"), (2, "true", "[]", None, "false", "no scale", None), (3, "false", None, None, None, "unsupported file type: txt", None)]),
+    "geo_loaded": _sql("plan_id, json", [(1, '{"ok":true,"width":3600,"height":2000,"pages":1,"preview":[1800,1000]}'), (2, '{"ok":true,"width":900,"height":500,"pages":1,"preview":[900,500]}'), (3, '{"ok":false,"detail":"empty file"}')]),
+    "geo_obj": _sql("plan_id, corners, faces, parts, top, last_corner", [(1, 96, 72, 12, 2.5, 96)]),
+    "geo_title_block": _sql("plan_id, lines", [(1, f"{_LONG}|Massstab 1:100 (A3)|Datum 09.03.2024|from dimensions"), (2, "file|unmassstäblich|Datum 01.12.2024|")]),
+    "geo_scale_bar": "select s as scale, round(10 + i * step * 1000 / s * 72 / 25.4, 3) as a, round(10 + (i + 1) * step * 1000 / s * 72 / 25.4, 3) as b, i % 2 = 0 as filled from (values (100, 1.0), (50, 2.0)) t(s, step), range(5) r(i)",
+    "geo_measured_errors": _sql("kind, n, width_error", [("door", 2, 0.75), ("window", 1, 0.0)]),
+    "geo_angle_errors": _with(a=_sql("plan_id, found, truth", _ANGLES)) + "select count(*) as n, round(avg(e), 3) as mean, round(max(e), 3) as most from (select abs((((found - truth + 45) % 90) + 90) % 90 - 45) as e from a where found is not null and truth is not null)",
+    "geo_perspective": _sql("plan_id, straight, was_bent, n", [(1, True, True, 18)]),
+    "geo_jobs": """with k as (select 'train' as split, i as k, i as seed, (i * 7919) % 5 as pos, 100 as base from range(7) r(i) union all select 'val', i, 5000000 + i, (i * 7919) % 3, 200 from range(2) r(i))
+        select split, base + pos as idx, seed, case when base + pos <> 101 then lpad(cast(seed as varchar), 7, '0') end as name, case when base + pos <> 101 then (base + pos) / 10.0 end as wall_px,
+        case when base + pos = 101 then 'ValueError(''no outline'')' end as error from k where base + pos <> 102""",
     "geo_binarized": _sql("plan_id, digits", [(1, 560)]),
     "geo_rooms": _sql("plan_id, label, area, \"left\"", [(1, 1, 660, 13), (1, 2, 660, 41)]),
     "geo_boxes": _sql("orient, x0, y0, x1, y1", [("h", 8.0, 8.0, 68.0, 12.0), ("h", 8.0, 44.0, 20.0, 48.0), ("h", 28.0, 44.0, 68.0, 48.0), ("v", 8.0, 12.0, 12.0, 44.0), ("v", 36.0, 12.0, 40.0, 44.0), ("v", 64.0, 12.0, 68.0, 44.0)]),

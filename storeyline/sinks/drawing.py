@@ -19,6 +19,13 @@ ORDER = ("HATCH", "LINES", "SYMBOLS", "STAIRS", "DIMENSIONS", "WINDOWS", "DOORS"
 PAGE_LONG, PAGE_SHORT, MM = 1190.55, 841.89, 72 / 25.4
 MARGIN, HEAD, GAP = 15 * MM, 24 * MM, 4 * MM
 SCALES = (20, 50, 100, 200, 500, 1000)
+# Stroke widths by layer; all strokes keep their width when the drawing is scaled.
+WIDTHS = {"WALLS": 1.8, "DIMENSIONS": 0.8, "HATCH": 0.6, "WINDOWS": 0.8, "DOORS": 0.8}
+STYLE = (
+    "<style>.vec path,.vec circle{fill:none;stroke:#111;stroke-width:1;stroke-linecap:round;stroke-linejoin:round;vector-effect:non-scaling-stroke}"
+    + "".join(f".vec .l-{k} path{{stroke-width:{v}}}" for k, v in WIDTHS.items())
+    + ".vec path.fill{fill:#9a9a9a;stroke:none;fill-rule:evenodd}.vec text{font-family:Helvetica,Arial,sans-serif;fill:#111}</style>"
+)
 
 
 def short_number(c: Column) -> Column:
@@ -59,7 +66,8 @@ def svg(entities: DataFrame, plans: DataFrame) -> DataFrame:
     whole = layers.withColumn("g", drawn).groupBy("plan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "g"))), lambda s: s["g"]), "").alias("body"))
     out = plans.select("plan_id", "width", "height").join(whole, "plan_id", "left")
     size = F.concat(short_number(F.col("width")), F.lit(" "), short_number(F.col("height")))
-    return out.select("plan_id", F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), size, F.lit('">'), F.coalesce("body", F.lit("")), F.lit("</svg>")).alias("svg"))
+    ground = F.concat(F.lit('<rect width="'), short_number(F.col("width")), F.lit('" height="'), short_number(F.col("height")), F.lit('" fill="#fff"/>'))
+    return out.select("plan_id", F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), size, F.lit('" preserveAspectRatio="xMidYMid meet" class="vec">'), F.lit(STYLE), ground, F.coalesce("body", F.lit("")), F.lit("</svg>")).alias("svg"))
 
 
 def dxf(entities: DataFrame, plans: DataFrame) -> DataFrame:
