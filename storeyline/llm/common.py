@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
@@ -91,6 +92,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def positional(df: DataFrame, keys: list[Column], text: Column) -> tuple[DataFrame, list[StructField]]:
+    """(the keys and the text as a string under names by place, the keys' fields): no names can clash."""
+    named = df.select(*keys, text.cast("string"))
+    return named.toDF(*(f"c{i}" for i in range(len(named.columns)))), named.schema.fields[:-1]
+
+
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """The column cast to ``kind``, or nulls if the frame has none of that name."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
