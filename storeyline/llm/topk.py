@@ -13,8 +13,11 @@ reach 2**53 (|q| |c| bounds it), else through Python integers.
 Queries and candidates meet in blocks: each pair of a query group and a candidate block is one
 task's bounded work; large buckets are split into blocks of about ``block`` rows by hash.
 
+Queries of like need, the length that their bound asks of a candidate, form a group, so that a group
+skips the buckets that none of its queries needs.
+
 Defined results: rows with a null id, a null vector, or null or non-finite components take no
-part; a repeated row counts once; only vectors of one dimension are compared; ties go to the
+part, nor do vectors whose integer length reaches ``LONGEST``, as their scores may not fit in 64 bits; a repeated row counts once; only vectors of one dimension are compared; ties go to the
 smaller id; all rows with the query's id are its own and no candidates.
 """
 
@@ -28,6 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storeyline.llm.common import written
+
+#: Products of vectors shorter than this fit in 64 bits.
+LONGEST = 2.0**31.5
 SEEDS = 1024
 BLOCK = 8192
 QUERIES = 4096
@@ -49,11 +56,13 @@ def quantised(df: DataFrame, key: Column, vector: Column, factor: float = 256.0)
                 if not np.isfinite(x).all():
                     continue
                 x = np.floor(factor * x)
-                if np.abs(x).max() >= 2.0**62:
-                    raise ValueError(f"vector {i}: a component beyond 64 bits")
+                with np.errstate(over="ignore"):
+                    norm = float(np.sqrt((x * x).sum()))
+                if not norm < LONGEST:
+                    continue
                 ids.append(i)
                 dims.append(len(x))
-                norms.append(float(np.sqrt((x * x).sum())))
+                norms.append(norm)
                 vecs.append(x.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int64()), pa.array(norms, pa.float64()), pa.array(vecs, pa.binary())], names=["vec_id", "dim", "norm", "vec"])
 
@@ -148,11 +157,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, seeds: int = SEEDS
     sized = vectors.withColumn("level", level)
     # lengths take few quarter octaves, whatever the number of rows
     levels = sized.groupBy("dim", "level").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
-    n_groups = max(1, -(-queries.count() // group))
-    cells = asked.withColumn("grp", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)))
-    reach = cells.groupBy("dim", "grp").agg(F.min(F.when(F.col("least") <= 0, F.lit(0.0)).otherwise(F.col("least") / F.greatest("q_norm", F.lit(1e-300)))).alias("need"))
+    need = F.when(F.col("least") <= 0, F.lit(0.0)).otherwise(F.col("least") / F.greatest("q_norm", F.lit(1e-300)))
+    asked = written(asked.withColumn("need", need).withColumn("step", F.floor(4 * F.log2(F.col("need") + 1))))
+    groups = asked.groupBy("dim", "step").agg(F.ceil(F.count("*") / group).alias("groups"))  # few rows, as with levels
+    cells = asked.join(F.broadcast(groups), ["dim", "step"]).withColumn("grp", F.col("step") * F.lit(1 << 32) + F.pmod(F.xxhash64("query_id"), F.col("groups"))).drop("step", "groups")
+    reach = cells.groupBy("dim", "grp").agg(F.min("need").alias("need"))
     met = reach.join(F.broadcast(levels), "dim").where(F.col("longest") >= F.col("need") * (1 - 1e-9)).select("dim", "grp", "level", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
-    left = cells.join(met.select("dim", "grp", "level", "blk"), ["dim", "grp"])
+    left = cells.drop("need").join(met.select("dim", "grp", "level", "blk"), ["dim", "grp"])
     right = sized.join(F.broadcast(levels.select("dim", "level", "blocks")), ["dim", "level"]).withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     right = right.join(met.select("dim", "grp", "level", "blk"), ["dim", "level", "blk"]).select("dim", "level", "blk", "grp", "vec_id", "norm", "vec")
 
