@@ -8,8 +8,9 @@ conversations a user turn t is read as the call ``t`` of the tool ``reply`` with
 ``text``, and an assistant turn t as the result of call ``t - 1``. Everything else is a message.
 
 Link: a hash join by (conv_id, call_id). Calls and results are counted by identifier first, with
-partial aggregation, so the joined side has one row an identifier: a hot identifier neither
-multiplies rows nor gathers in one task, and no conversation is ever collected.
+partial aggregation, so the joined side has one row an identifier: a hot identifier does not
+multiply rows. Its events meet in one partition of the join, row by row; no conversation is ever
+collected. Equal events of repeated rows tie in the order.
 
 Order: (order_turn, order_rank, turn, seq) is a topological order of a conversation: a result comes
 after its first call, wherever it stood. Arguments are checked against ``schemas``: tool ->
@@ -92,18 +93,20 @@ def linked(turns: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] = S
     message = F.concat(F.lit('{"content":'), quoted(F.col("content")), F.lit(',"role":'), quoted(F.col("role")), F.lit("}"))
     found = found.select("conv_id", "turn", "seq", "kind", "call_id", wrong.alias("problems"), F.when(F.col("kind") == "call", call).when(F.col("kind") == "result", result).otherwise(message).alias("json"))
     is_call = F.col("kind") == "call"
-    ids = found.where("call_id is not null and conv_id is not null and turn is not null").groupBy("conv_id", "call_id").agg(F.min(F.when(is_call, F.struct("turn", "seq"))).alias("first"), F.count_if(is_call).alias("n_calls"), F.count_if(F.col("kind") == "result").alias("n_results"))
+    # turn and seq in one number: minima of numbers are kept in a hash table, those of structs are sorted
+    place = F.col("turn").cast("decimal(20,0)") * F.lit(1 << 32) + F.col("seq")
+    ids = found.where("call_id is not null and conv_id is not null and turn is not null").groupBy("conv_id", "call_id").agg(F.min(F.when(is_call, place)).alias("first"), F.count_if(is_call).alias("n_calls"), F.count_if(F.col("kind") == "result").alias("n_results"))
     out = found.join(ids.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     for c in ("n_calls", "n_results"):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("long"))
-    again = is_call & (F.col("n_calls") > 1) & (F.struct("turn", "seq") != F.col("first"))
+    again = is_call & (F.col("n_calls") > 1) & (place != F.col("first"))
     out = out.withColumn("linked", F.col("turn").isNotNull() & F.when(is_call, (F.col("n_results") > 0) & ~again).when(F.col("kind") == "result", F.col("n_calls") > 0).otherwise(F.lit(False)))
     out = out.withColumn("problems", F.when(again, F.array_append("problems", F.lit("repeated id"))).otherwise(F.col("problems")))
     is_result = F.col("kind") == "result"
     return out.select(
         "conv_id", "turn", F.col("seq").cast("long").alias("seq"), "kind", "call_id", "linked", "n_calls", "n_results", F.array_join("problems", "; ").alias("problems"),
         (F.size("problems") == 0).alias("valid"),
-        F.when(is_result, F.greatest("turn", "first.turn")).otherwise(F.col("turn")).alias("order_turn"),
+        F.when(is_result, F.greatest(F.col("turn"), F.floor(F.col("first") / F.lit(1 << 32)).cast("long"))).otherwise(F.col("turn")).alias("order_turn"),
         is_result.cast("int").alias("order_rank"),
         "json",
     )
