@@ -19,6 +19,7 @@ the one of fewest edits is kept, then the first.
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -28,7 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from storeyline.llm.common import held, positional
 from storeyline.llm.textcodes import mixed
 
 Q = 12
@@ -208,19 +211,19 @@ def _blocks(benchmark: DataFrame, item_chars: int) -> Iterator:
 
 def contaminated(docs: DataFrame, text: Column, keys: list[Column], benchmark: DataFrame, item_chars: int = ITEM_CHARS) -> DataFrame:
     """``keys`` with item_id, start, end, edits: one row a match; documents without one have none."""
-    source = docs.select(*keys, text.cast("string").alias("__text"))
-    names = source.columns[:-1]
-    schema = source.drop("__text").withColumns({c: F.lit(None if c == "item_id" else 0).cast("long") for c in ("item_id", "start", "end", "edits")}).schema
+    source, fields = positional(docs, keys, text)
+    n, schema = len(fields), StructType([*fields, *(StructField(c, LongType()) for c in ("item_id", "start", "end", "edits"))])
+    names = schema.names
     out = None
     for shared in _blocks(benchmark, item_chars):
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = index(shared.value)
+        def run(batches: Iterable[pa.RecordBatch], shared=shared, key=("decontam", uuid.uuid4().hex)) -> Iterator[pa.RecordBatch]:
+            own = held(key, lambda: index(shared.value))
             for batch in batches:
-                found = find(batch.column(len(names)).to_pylist(), own)
+                found = find(batch.column(n).to_pylist(), own)
                 row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
                 flat = [m for f in found for m in f]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(len(names))), *(pa.array([m[c] for m in flat], pa.int64()) for c in range(4))], names=[*names, "item_id", "start", "end", "edits"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(n)), *(pa.array([m[c] for m in flat], pa.int64()) for c in range(4))], names=names)
 
         here = source.mapInArrow(run, schema)
         out = here if out is None else out.unionByName(here)
@@ -232,8 +235,8 @@ def clean(docs: DataFrame, text: str, benchmark: DataFrame, item_chars: int = IT
     at = docs.columns.index(text)
     for shared in _blocks(benchmark, item_chars):
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = index(shared.value)
+        def run(batches: Iterable[pa.RecordBatch], shared=shared, key=("decontam", uuid.uuid4().hex)) -> Iterator[pa.RecordBatch]:
+            own = held(key, lambda: index(shared.value))
             for batch in batches:
                 yield batch.filter(pa.array([not f for f in find(batch.column(at).to_pylist(), own)], pa.bool_()))
 
