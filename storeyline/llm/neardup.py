@@ -6,14 +6,15 @@ class. Each class has a signature of ``HASHES`` symbols of 16 bits. Two sets at
 differ in about HASHES * (1 - t) symbols; ``distance`` adds four standard deviations to that.
 
 Join: a signature is split into chunks so that, by pigeonhole, any two within the distance agree
-in some chunk up to ``errors`` symbols; every chunk is indexed under all ways to leave out so many
-symbols. Pairs that meet under a key are compared on whole signatures, so all pairs under the
+in some chunk up to ``errors`` symbols (one); every chunk is indexed under all ways to leave out so
+many symbols, so the allowed errors are enumerated. Pairs that meet under a key are compared on whole signatures, so all pairs under the
 signature distance are found. Groups under a key emit spanning forests of such pairs, never the
 pairs; the components of those forests hold every candidate pair. Inside them links are confirmed
 on the full sets, again as spanning forests, and their components are the result.
 
-Large groups are split into blocks by hash and every pair of blocks is a cell of its own, so a task
-holds two bounded blocks whatever the size of a group; nothing is capped or dropped.
+Large groups are split into blocks by hash, each a task's bounded work. Blocks of a group are compared
+with each other only as far as the edges found inside blocks have not made their members one
+component, so a family of near copies costs its size and not its square; nothing is capped or dropped.
 
 Defined results: null texts and texts without words have empty sets and link with nothing; rows
 with a null doc_id are linked with nothing and get a null component; rows sharing a doc_id are
@@ -33,20 +34,34 @@ from pyspark.sql import functions as F
 
 from storeyline.llm.common import written
 from storeyline.llm.graph import components
-from storeyline.llm.textcodes import _powers, mixed
+from storeyline.llm.textcodes import mixed
 
 HASHES = 64
 SEED = 99
 #: Members of a block, and shingles of a block in the confirming step.
 BLOCK = 4096
 BLOCK_SHINGLES = 1_500_000
+BLOCK_TEXTS = 1024
 
+_KEY = np.uint64(0x8CB92BA72F3D8DD7)
+_WORDS = 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
 
 
+def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of a pseudo-random value for every byte at its place in the word.
+    (A polynomial modulo 2**64 would have collisions that anyone can write down.)"""
+    size = end - begin
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    at = place + np.repeat(begin, size)
+    value = mixed(mixed((data[at].astype(np.uint64) + np.uint64(1)) * _KEY + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ _KEY)
+    return mixed(mixed(np.add.reduceat(value, first)) ^ size.astype(np.uint64))
+
+
 def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     """The sorted 64-bit shingle hashes of each text."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -55,11 +70,10 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     live = ~_GAP[data]
     edge = np.diff(live.astype(np.int8))
     begin, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
-    up, down = _powers(max(16, len(data).bit_length()))
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
-    words = mixed(((total[end] - total[begin]) * down[begin]) ^ (end - begin).astype(np.uint64))
+    words = np.zeros(len(begin), np.uint64)
+    for at in range(0, len(begin), _WORDS):  # in pieces, for memory
+        b, e = begin[at : at + _WORDS], end[at : at + _WORDS]
+        words[at : at + _WORDS] = _word_hashes(data[b[0] : e[-1]], b - b[0], e - b[0])
     bounds = np.searchsorted(begin, starts)
     factor = np.random.default_rng(SEED).integers(1, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     n = max(0, len(words) - width + 1)
@@ -105,7 +119,7 @@ def distance(threshold: float, hashes: int = HASHES) -> int:
     return min(hashes - 1, math.ceil(hashes * (1 - threshold) + 4 * math.sqrt(hashes * threshold * (1 - threshold))))
 
 
-def chunk_keys(sig: np.ndarray, limit: int, errors: int = 0) -> np.ndarray:
+def chunk_keys(sig: np.ndarray, limit: int, errors: int = 1) -> np.ndarray:
     """(signatures, keys): 64-bit keys such that signatures within ``limit`` share one."""
     chunks = np.array_split(np.arange(sig.shape[1]), limit // (errors + 1) + 1)
     factor = np.random.default_rng(SEED + 2).integers(1, 1 << 63, sig.shape[1] + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -209,14 +223,30 @@ def _edges(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _cells(df: DataFrame, member: str, blocks: Column) -> DataFrame:
-    """Adds i <= j: a row's block with every block of its group; one cell where there is one block."""
-    own = F.pmod(F.xxhash64(F.lit(5), F.col(member)), F.col("blocks")).cast("int")
-    df = df.withColumn("blocks", blocks.cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return df.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Groups by ``by``, each within one partition and together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
+
+
+def _own_block(group: str, member: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), F.col(group), F.col(member)), F.col("blocks")).cast("int")
+
 
+def _cells(df: DataFrame, group: str, member: str) -> DataFrame:
+    """Adds i <= j: a row's block with every block of its group."""
+    df = df.withColumn("own", _own_block(group, member)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return df.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other")
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, errors: int = 0) -> DataFrame:
+
+def _apart(members: DataFrame, labels: DataFrame, group: str, member: str) -> DataFrame:
+    """The members of groups of several blocks whose members are not in one component yet, with it as ``side``."""
+    several = members.where("blocks > 1").join(labels.select(F.col("node").alias(member), F.col("component").alias("of")), member, "left")
+    several = several.withColumn("side", F.coalesce("of", F.col(member))).drop("of")
+    open_ = several.groupBy(group).agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low < high").select(group)
+    return several.join(open_, group)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, errors: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; ``docs`` needs doc_id and text."""
     limit = distance(percent / 100)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -238,46 +268,67 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, errors:
             reps = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(reps)], names=["key", "rep"])
 
-    keyed = classes.select("rep", "sig").mapInArrow(index, "key long, rep long")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(shared, "key")
-    met = _cells(met, "rep", F.ceil(F.col("n") / BLOCK)).join(classes.select("rep", "sig"), "rep")
-    met = met.select("key", "i", "j", "rep", "own", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Forests of the pairs within the distance; of pairs of different sides where there are sides."""
+
         def found() -> Iterator[tuple[int, int]]:
-            for (_, i, j), group in _groups(batches, 3):
+            for _, group in _groups(batches, 3):
                 if len(group) > 1:
-                    sig = np.frombuffer(b"".join(r[2] for r in group), np.uint16).reshape(len(group), HASHES)
-                    side = None if i == j else np.array([r[1] for r in group])
+                    sig = np.frombuffer(b"".join(r[1] for r in group), np.uint16).reshape(len(group), HASHES)
+                    side = None if group[0][2] is None else np.array([r[2] for r in group])
                     for a, b in near_forest(sig, limit, side):
                         if group[a][0] != group[b][0]:
                             yield group[a][0], group[b][0]
 
         yield from _edges(found())
 
-    families = written(components(met.mapInArrow(near, "a long, b long")))
-    sized = families.join(classes.groupBy("rep").agg(F.max("n").alias("n")), families["node"] == F.col("rep")).select("node", "component", "n")
-    weight = sized.groupBy("component").agg(F.sum("n").alias("all_n"), F.count("*").alias("members"))
-    wanted = sized.join(weight, "component").select(F.col("node").alias("rep"), "component", F.greatest(F.ceil(F.col("all_n") / BLOCK_SHINGLES), F.ceil(F.col("members") / 1024)).alias("need"))
-    texts = rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("rep", "component", "need", "text")
-    cells = _cells(texts, "rep", F.col("need")).select("component", "i", "j", "rep", "own", "text").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
-
     def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same of confirmed links."""
+
         def found() -> Iterator[tuple[int, int]]:
-            for (_, i, j), group in _groups(batches, 3):
-                sets = shingle_sets([r[2] for r in group], width)
-                side = None if i == j else np.array([r[1] for r in group])
-                for a, b in link_forest(sets, signatures(sets), limit, percent, side):
-                    yield group[a][0], group[b][0]
+            for _, group in _groups(batches, 3):
+                if len(group) > 1:
+                    sets = shingle_sets([r[1] for r in group], width)
+                    side = None if group[0][2] is None else np.array([r[2] for r in group])
+                    for a, b in link_forest(sets, signatures(sets), limit, percent, side):
+                        yield group[a][0], group[b][0]
 
         yield from _edges(found())
 
+    def families_of(members: DataFrame, group: str, payload: DataFrame, run, more: DataFrame | None = None) -> DataFrame:
+        """(node, component) over all linked members of each group and the edges ``more``; ``members`` has group, rep and
+        blocks, ``payload`` rep and what is compared.
+
+        First every block by itself. Blocks of a group meet only where the edges found so, in all groups, have not made
+        its members one component, and then only members of different components are compared."""
+        one = members.withColumn("i", _own_block(group, "rep")).withColumn("j", F.col("i")).join(payload, "rep")
+        column = payload.columns[-1]
+        edges = _dealt(one.select(group, "i", "j", "rep", column, F.lit(None).cast("long").alias("side")), group, "i", "j").mapInArrow(run, "a long, b long")
+        labels = written(components(edges if more is None else edges.unionByName(more)))
+        if members.where("blocks > 1").isEmpty():
+            return labels
+        apart = written(_apart(members, labels, group, "rep"))
+        if apart.isEmpty():
+            return labels
+        cross = _dealt(_cells(apart, group, "rep").join(payload, "rep").select(group, "i", "j", "rep", column, "side"), group, "i", "j").mapInArrow(run, "a long, b long")
+        return written(components(cross.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+
+    keyed = classes.select("rep", "sig").mapInArrow(index, "key long, rep long")
+    # a family meets under many keys: of keys with the same members one is compared
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"h{i}") for i in (1, 2)]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), *same).where("n > 1").groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
+    met = written(keyed.join(shared, "key").select("key", "rep", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    families = families_of(met, "key", classes.select("rep", "sig"), near)
+    sized = families.join(classes.groupBy("rep").agg(F.max("n").alias("n")), families["node"] == F.col("rep")).select("node", "component", "n")
+    weight = sized.groupBy("component").agg(F.sum("n").alias("all_n"), F.count("*").alias("members"))
+    wanted = written(sized.join(weight, "component").select(F.col("node").alias("rep"), "component", F.greatest(F.ceil(F.col("all_n") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_TEXTS)).alias("blocks")))
     # rows that share an id are one node: the classes of its texts are linked
     of = base.where("cls is not null and doc_id is not null").select("doc_id", "cls").join(classes.select("cls", "rep"), "cls").select("doc_id", "rep").distinct()
     several = of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most")
     same_id = of.join(several, "doc_id").select(F.col("rep").alias("a"), "b")
-    labels = components(cells.mapInArrow(confirm, "a long, b long").unionByName(same_id))
+    labels = families_of(wanted, "component", rows.select(F.col("doc_id").alias("rep"), "text"), confirm, same_id)
     by_class = classes.select("cls", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("of_class"))
-    by_doc = base.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id"))
+    full = base.where("cls is not null").join(by_class, "cls", "left").select("doc_id", "n_shingles", "of_class")
+    empty = base.where("cls is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("of_class"))
+    by_doc = full.unionByName(empty).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id"))
     return by_doc.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
