@@ -18,6 +18,16 @@ UMLAUTS = {
     "vorratsraum": "Vorratsraum", "waschkuche": "Waschküche", "buhne": "Bühne", "dachboden": "Dachboden",
     "trockenraum": "Trockenraum", "kinderzimmer": "Kinderzimmer",
 }
+# Patterns of the plans' notations, which decide what counts as a number, a scale, an area, a room number or a storey.
+DIMENSION_PATTERN = r"^(\d{1,3})(?:[.,](\d{1,3}))?$"
+SCALE_PATTERN = rf"(?iu)(?:\b(?:{SCALE_WORDS})\.?\s*)?1\s*[:/]\s*(\d{{1,4}})\b"
+SCALE_PREFIX_PATTERN = rf"(?iu)\b(?:{SCALE_WORDS})\.?\s*1\s*[:/]"
+NUMERIC_PATTERN = rf"^\d{{1,3}}([.,]\d{{1,3}})?[{SUPERSCRIPTS}]*$"
+AREA_PATTERN = rf"(?iu)(?:\b(?:{AREA_PREFIXES})\s*[=:]?\s*(\d{{1,3}}(?:[.,]\d{{1,2}})?)(?![\d.,]))|(?:(\d{{1,3}}(?:[.,]\d{{1,2}})?)\s*(?:m\s*[2²]|qm))"
+BARE_AREA_PATTERN = r"^(\d{1,3}[.,]\d{1,2})$"
+NAME_PATTERN = r"[A-Za-zÄÖÜäöüéèàç]{3,}"
+ROOM_NUMBER_PATTERN = r"^[Oo]?(\d{1,3}(?:\.\d{1,2})?)\b\s*(.*)$"
+STOREY_PATTERN = r"(?iu)\b(UG|KG|EG|DG|[1-9]\s?\.?\s?OG|OG|Erdgeschoss|Obergeschoss|Untergeschoss|Dachgeschoss|Kellergeschoss)\b"
 
 
 def _col(c: Column | str) -> Column:
@@ -35,36 +45,34 @@ def decimal(c: Column | str) -> Column:
 def dimension_mm(c: Column | str) -> Column:
     """``4.50`` is 4500 mm (metres with two decimals), ``80`` is 800 mm (centimetres); 50..60000 or null."""
     t = F.rtrim(F.replace(F.trim(_col(c)), F.lit(" "), F.lit("")), F.lit(SUPERSCRIPTS))
-    whole, part = F.regexp_extract(t, r"^(\d{1,3})(?:[.,](\d{1,3}))?$", 1), F.regexp_extract(t, r"^(\d{1,3})(?:[.,](\d{1,3}))?$", 2)
+    whole, part = F.regexp_extract(t, DIMENSION_PATTERN, 1), F.regexp_extract(t, DIMENSION_PATTERN, 2)
     value = F.when(whole == "", None).when(part == "", whole.try_cast("double") * 10).when(F.length(part) == 2, F.concat(whole, F.lit("."), part).try_cast("double") * 1000)
     return F.when(value.between(50, 60000), value)
 
 
 def scale_ratios(c: Column | str) -> Column:
     """All common ratios n of ``1:n`` or ``1/n`` in a text, in order."""
-    found = F.regexp_extract_all(_col(c), F.lit(rf"(?iu)(?:\b(?:{SCALE_WORDS})\.?\s*)?1\s*[:/]\s*(\d{{1,4}})\b"), F.lit(1))
+    found = F.regexp_extract_all(_col(c), F.lit(SCALE_PATTERN), F.lit(1))
     return F.filter(F.transform(found, lambda n: n.cast("int")), lambda n: n.isin(*COMMON_SCALES))
 
 
 def scale_prefixed(c: Column | str) -> Column:
     """Whether a scale word stands before the ratio."""
-    return _col(c).rlike(rf"(?iu)\b(?:{SCALE_WORDS})\.?\s*1\s*[:/]")
+    return _col(c).rlike(SCALE_PREFIX_PATTERN)
 
 
 def is_numeric_token(c: Column | str) -> Column:
     """Digits with an optional decimal part and superscripts."""
-    return F.trim(_col(c)).rlike(rf"^\d{{1,3}}([.,]\d{{1,3}})?[{SUPERSCRIPTS}]*$")
+    return F.trim(_col(c)).rlike(NUMERIC_PATTERN)
 
 
 def area_m2(c: Column | str) -> Column:
     """An area text (prefix F, NF, ... or suffix m², m2, qm), or a bare number with decimals."""
-    pattern = rf"(?iu)(?:\b(?:{AREA_PREFIXES})\s*[=:]?\s*(\d{{1,3}}(?:[.,]\d{{1,2}})?)(?![\d.,]))|(?:(\d{{1,3}}(?:[.,]\d{{1,2}})?)\s*(?:m\s*[2²]|qm))"
-
     def read(t: Column) -> Column:
-        first, second = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
+        first, second = F.regexp_extract(t, AREA_PATTERN, 1), F.regexp_extract(t, AREA_PATTERN, 2)
         return F.when(first != "", decimal(first)).when(second != "", decimal(second))
 
-    bare = F.regexp_extract(F.trim(_col(c)), r"^(\d{1,3}[.,]\d{1,2})$", 1)
+    bare = F.regexp_extract(F.trim(_col(c)), BARE_AREA_PATTERN, 1)
     return F.coalesce(read(F.replace(_col(c), F.lit(" "), F.lit(""))), read(_col(c)), F.when(bare != "", decimal(bare)))
 
 
@@ -92,7 +100,7 @@ def is_name(text: Column | str, conf: Column | str) -> Column:
     """A word of three letters or more, mostly letters, read with some confidence."""
     t = F.trim(_col(text))
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    return t.rlike(r"[A-Za-zÄÖÜäöüéèàç]{3,}") & (letters >= 0.6 * F.length(F.replace(t, F.lit(" "), F.lit("")))) & (_col(conf) >= 55)
+    return t.rlike(NAME_PATTERN) & (letters >= 0.6 * F.length(F.replace(t, F.lit(" "), F.lit("")))) & (_col(conf) >= 55)
 
 
 def stamp_line(c: Column | str) -> Column:
@@ -105,13 +113,12 @@ def stamp_line(c: Column | str) -> Column:
 
 def number_prefix(c: Column | str) -> Column:
     """struct(number, rest) of ``O02 Küche`` and the like; number null if there is none."""
-    pattern = r"^[Oo]?(\d{1,3}(?:\.\d{1,2})?)\b\s*(.*)$"
-    return F.struct(F.nullif(F.regexp_extract(_col(c), pattern, 1), F.lit("")).alias("number"), F.regexp_extract(_col(c), pattern, 2).alias("rest"))
+    return F.struct(F.nullif(F.regexp_extract(_col(c), ROOM_NUMBER_PATTERN, 1), F.lit("")).alias("number"), F.regexp_extract(_col(c), ROOM_NUMBER_PATTERN, 2).alias("rest"))
 
 
 def storey_of(c: Column | str) -> Column:
     """The storey a text names, in short form; null if none."""
-    raw = F.regexp_extract(_col(c), r"(?iu)\b(UG|KG|EG|DG|[1-9]\s?\.?\s?OG|OG|Erdgeschoss|Obergeschoss|Untergeschoss|Dachgeschoss|Kellergeschoss)\b", 1)
+    raw = F.regexp_extract(_col(c), STOREY_PATTERN, 1)
     table = F.create_map(*(F.lit(x) for pair in STOREY_NAMES.items() for x in pair))
     return F.when(raw != "", F.coalesce(F.try_element_at(table, F.lower(raw)), F.replace(F.upper(raw), F.lit(" "), F.lit(""))))
 

@@ -7,16 +7,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storeyline.functions.scalars import box_overlap
+from storeyline.operators.helpers import cells
 
 
 def matches(predicted: DataFrame, truth: DataFrame, least: float = 0.25) -> DataFrame:
     """(plan_id, kind, seq, truth_seq, iou): predictions in order take the free truth of their kind with
     the best intersection over union above ``least``. The candidate pairs are a join, the taking a fold."""
     names = ["x0", "y0", "x1", "y1"]
-    t = truth.select(F.col("plan_id").alias("p"), F.col("kind").alias("k"), F.col("seq").alias("truth_seq"), *(F.col(n).alias(f"t_{n}") for n in names))
+    t = truth.select(F.col("plan_id").alias("p"), F.col("kind").alias("k"), F.col("seq").alias("truth_seq"), *(F.col(n).alias(f"t_{n}") for n in names), F.explode(cells(*map(F.col, names), 512.0)).alias("t_cell"))
     both = box_overlap([F.col(n) for n in names], [F.col(f"t_{n}") for n in names])
     area = lambda q: (F.col(f"{q}x1") - F.col(f"{q}x0")) * (F.col(f"{q}y1") - F.col(f"{q}y0"))
-    met = predicted.join(t, (F.col("plan_id") == F.col("p")) & (F.col("kind") == F.col("k"))).withColumn("both", both).withColumn("iou", F.col("both") / (area("") + area("t_") - F.col("both"))).where(F.col("iou") > least)
+    mine = predicted.withColumn("cell", F.explode(cells(*map(F.col, names), 512.0)))
+    # boxes that overlap share a cell, and are taken in the first one they share
+    first = (F.col("cell.x") == F.greatest(F.floor(F.col("x0") / 512.0), F.floor(F.col("t_x0") / 512.0))) & (F.col("cell.y") == F.greatest(F.floor(F.col("y0") / 512.0), F.floor(F.col("t_y0") / 512.0)))
+    met = mine.join(t, (F.col("plan_id") == F.col("p")) & (F.col("kind") == F.col("k")) & (F.col("cell") == F.col("t_cell")) & first).withColumn("both", both).withColumn("iou", F.col("both") / (area("") + area("t_") - F.col("both"))).where(F.col("iou") > least)
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         out, used = [], set()

@@ -7,6 +7,8 @@ joins with a residual, spread over buckets even where one plan holds many rows.
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,10 +20,19 @@ def cut(df: DataFrame) -> DataFrame:
     several times does not repeat the plan before it."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storeyline-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="storeyline-"))
     return df.checkpoint()
 
 
+def cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
+    """An array of the grid cells that a box touches."""
+    span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
+    return F.flatten(F.transform(span(x0, x1), lambda x: F.transform(span(y0, y1), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, below: float, above: float, how: str = "inner", condition: Column | None = None) -> DataFrame:
     """Rows with right_at - left_at in [below, above] and equal keys.
 
@@ -93,8 +104,11 @@ def consensus(df: DataFrame, by: list[str], value: str, tolerance: float = 0.06,
     two that agree within 2.5 %."""
     counted = df.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("w"))
     size = df.groupBy(*by).agg(F.count(value).alias("n"))
-    right = counted.select(*by, F.col("v").alias("o"), F.col("w").alias("ow"))
-    met = counted.join(right, by).where(F.abs(F.col("o") - F.col("v")) <= tolerance * F.col("v"))
+    # values within the tolerance are within a band of their logarithms
+    at = F.ln(F.greatest("v", F.lit(1e-300)))
+    right = counted.select(*by, F.col("v").alias("o"), F.col("w").alias("ow"), at.alias("o_at"))
+    near = F.abs(F.col("o") - F.col("v")) <= tolerance * F.col("v")
+    met = band_join(counted.withColumn("at", at), right, by, "at", "o_at", math.log(1 - tolerance) - 1e-9, math.log(1 + tolerance) + 1e-9, condition=near)
     centres = met.groupBy(*by, "v").agg(F.sum("ow").alias("inliers"))
     centre = centres.groupBy(*by).agg(F.min(F.struct((-F.col("inliers")).alias("m"), F.col("v"))).alias("c")).select(*by, F.col("c.v").alias("c"), (-F.col("c.m")).alias("inliers"))
     median = df.join(centre, by).where(F.abs(F.col(value) - F.col("c")) <= tolerance * F.col("c")).groupBy(*by, "c", "inliers").agg(F.median(value).alias("med"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storeyline.functions import scalars as S
-from storeyline.operators.helpers import best, histogram_peak, weighted_median
+from storeyline.operators.helpers import best, cells, histogram_peak, weighted_median
 
 
 def _width() -> Column:
@@ -70,9 +70,11 @@ def window_boxes(lines: DataFrame, gap: float) -> DataFrame:
 
 def in_zones(lines: DataFrame, zones: DataFrame) -> DataFrame:
     """Lines that lie wholly in some zone."""
-    z = zones.select(F.col("plan_id").alias("p"), *(F.col(c).alias(f"z_{c}") for c in ("x0", "y0", "x1", "y1")))
+    size = 512.0
+    z = zones.select(F.col("plan_id").alias("p"), *(F.col(c).alias(f"z_{c}") for c in ("x0", "y0", "x1", "y1")), F.explode(cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)).alias("z_cell"))
+    corner = F.struct(F.floor(F.least("x1", "x2") / size).alias("x"), F.floor(F.least("y1", "y2") / size).alias("y"))
     inside = (F.least("x1", "x2") >= F.col("z_x0")) & (F.greatest("x1", "x2") <= F.col("z_x1")) & (F.least("y1", "y2") >= F.col("z_y0")) & (F.greatest("y1", "y2") <= F.col("z_y1"))
-    return lines.join(z, (F.col("plan_id") == F.col("p")) & inside, "left_semi")
+    return lines.join(z, (F.col("plan_id") == F.col("p")) & (corner == F.col("z_cell")) & inside, "left_semi")
 
 
 def line_choice(layer: Column, inside: Column, deep: Column, in_well: Column, essential: Column) -> Column:
@@ -85,7 +87,7 @@ def line_choice(layer: Column, inside: Column, deep: Column, in_well: Column, es
 def text_kept(text: Column, conf: Column, layer: Column, inside: Column, deep: Column) -> Column:
     """Whether a text is drawn in essential detail (titles go to the head of the page instead)."""
     area = text.contains("m2") | text.contains("m²")
-    word = text.rlike(r"[A-Za-zÄÖÜäöüéèàç]{3,}") & (conf >= 55)
+    word = text.rlike(S.NAME_PATTERN) & (conf >= 55)
     alpha = text.rlike(r"[A-Za-zÄÖÜäöüéèàç]")
     return F.when(F.size(S.scale_ratios(text)) > 0, False).when(layer == "DIMENSIONS", ~deep).otherwise((word | area) & (alpha | (area & inside)))
 
@@ -100,7 +102,7 @@ def plan_titles(texts: DataFrame) -> DataFrame:
     row = out.where("rotation = 0 and conf >= 55").where(F.col("text").rlike(r"[A-Za-zÄÖÜäöü]")).join(first, (F.col("plan_id") == F.col("p")) & (F.abs(middle - F.col("row_y")) < 0.6 * F.col("row_h")))
     words = row.groupBy("p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))), lambda s: s["text"]), " ").alias("line"))
     line = F.coalesce("line", "own")
-    clean = F.btrim(F.regexp_replace(line, r"(?iu)(?:\b(?:M|Mst|Massstab|Maßstab|Scale)\.?\s*)?1\s*[:/]\s*\d{1,4}\b", ""), F.lit(" ,-–"))
+    clean = F.btrim(F.regexp_replace(line, S.SCALE_PATTERN, ""), F.lit(" ,-–"))
     return first.join(words, "p", "left").select(F.col("p").alias("plan_id"), clean.alias("title"))
 
 

@@ -137,6 +137,18 @@ def geo_stairs(spark: SparkSession, _: str) -> DataFrame:
     return classify.stairs(_lines(spark), _frame(spark))
 
 
+def geo_thick_walls(spark: SparkSession, _: str) -> DataFrame:
+    """Long axis lines of 1.8 thin widths; not the thin, the short, the slanted one."""
+    rows = [(1, 0.0, 0.0, 100.0, 0.0, 3.6), (2, 0.0, 10.0, 100.0, 10.0, 3.5), (3, 0.0, 20.0, 24.0, 20.0, 9.0), (4, 0.0, 30.0, 100.0, 60.0, 9.0), (5, 50.0, 0.0, 50.0, 90.0, 5.0)]
+    return classify.thick_walls(_rows(spark, [(1, *r[:5], "LINES", r[5], 1) for r in rows], LINES), _frame(spark)).select("seq")
+
+
+def geo_window_lines(spark: SparkSession, _: str) -> DataFrame:
+    """A window's two lines between the heads of two walls; a third line touches one of them only."""
+    rows = [(1, 100.0, 100.0, 100.0, 130.0, "WALLS"), (2, 180.0, 100.0, 180.0, 130.0, "WALLS"), (3, 100.0, 110.0, 180.0, 110.0, "LINES"), (4, 100.0, 120.0, 180.0, 120.0, "LINES"), (5, 100.0, 128.0, 150.0, 128.0, "LINES"), (6, 300.0, 110.0, 380.0, 110.0, "LINES")]
+    return classify.windows(_rows(spark, [(1, *r, 2.0, 1) for r in rows], LINES), _frame(spark)).select("seq")
+
+
 def geo_classify(spark: SparkSession, _: str) -> DataFrame:
     arcs = _rows(spark, [(1, 1, 150.0, 690.0, 90.0, 270.0, 360.0, None), (1, 2, 500.0, 500.0, 400.0, 0.0, 90.0, None)], ARCS)
     texts = _rows(spark, [(1, 1, "3.00", 236.0, 880.0, 264.0, 894.0, 0)], "plan_id long, seq long, text string, x0 double, y0 double, x1 double, y1 double, rotation int")
@@ -538,6 +550,9 @@ ORACLE_SQL = {
     "geo_class_iou": _sql("label, iou", [("wall", 0.666667), ("bg", 0.956522)]),
     "geo_components": _sql("label, area, x0, y0, cx, cy", [(1, 24, 1, 1, 4.5, 2.0), (2, 3, 3, 5, 3.0, 6.0), (3, 3, 6, 6, 7.0, 6.0)]),
     "geo_wall_rects": _sql("seq, x0, y0, x1, y1, orient", [(0, 1.0, 1.0, 9.0, 4.0, "h"), (1, 3.0, 5.0, 4.0, 8.0, "v"), (2, 6.0, 6.0, 9.0, 7.0, "h")]),
+    "geo_cleanup": _sql("seq, x1, y1, x2, y2", [(1, 0.0, 0.5, 204.0, 0.5), (3, 204.0, 0.5, 204.0, 150.0), (4, 0.0, 100.0, 204.0, 100.0), (7, 52.5, 0.5, 52.5, 100.0), (8, 60.0, 40.0, 90.0, 70.0)]),
+    "geo_thick_walls": _sql("seq", [(1,), (5,)]),
+    "geo_window_lines": _sql("seq", [(3,), (4,)]),
     "geo_skeleton": _sql("parts, tallest", [(3, 2)]),
     "geo_merged_rects": _sql("seq, x0, y0, x1, y1", [(1, 0.0, 0.0, 300.0, 10.0), (3, 320.0, 0.0, 400.0, 10.0), (4, 0.0, 50.0, 100.0, 60.0), (5, 102.0, 40.0, 300.0, 70.0)]),
     "geo_circle": _sql("plan_id, cx, cy, r, fits", [(1, 5.0, 7.0, 3.0, True)]),

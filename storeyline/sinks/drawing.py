@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storeyline.functions.scalars import xml_escape
-from storeyline.operators.helpers import best
+from storeyline.operators.helpers import best, cells
 
 ENTITIES = "plan_id long, seq long, type string, layer string, points array<struct<x:double,y:double>>, r double, start double, end double, closed boolean, rings array<array<struct<x:double,y:double>>>, text string, size double, rotation int"
 # Drawing order of the layers, page and scales.
@@ -124,6 +124,8 @@ def layout(boxes: DataFrame, plans: DataFrame) -> DataFrame:
 def stamp_boxes(texts: DataFrame, frames: DataFrame) -> DataFrame:
     """(plan_id, grp, cx, cy, frame): groups' mean centres and the first frame around each, if any."""
     g = texts.where("grp is not null").groupBy("plan_id", "grp").agg(F.avg((F.col("x0") + F.col("x1")) / 2).alias("cx"), F.avg((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    f = frames.select(F.col("plan_id").alias("p"), F.col("seq").alias("frame"), *(F.col(c).alias(f"f_{c}") for c in ("x0", "y0", "x1", "y1")))
-    met = g.join(f, (F.col("plan_id") == F.col("p")) & F.col("cx").between(F.col("f_x0"), F.col("f_x1")) & F.col("cy").between(F.col("f_y0"), F.col("f_y1")), "left")
+    size, box = 512.0, ("x0", "y0", "x1", "y1")
+    f = frames.select(F.col("plan_id").alias("p"), F.col("seq").alias("frame"), *(F.col(c).alias(f"f_{c}") for c in box), F.explode(cells(*map(F.col, box), size)).alias("f_cell"))
+    own = F.struct(F.floor(F.col("cx") / size).alias("x"), F.floor(F.col("cy") / size).alias("y"))
+    met = g.join(f, (F.col("plan_id") == F.col("p")) & (own == F.col("f_cell")) & F.col("cx").between(F.col("f_x0"), F.col("f_x1")) & F.col("cy").between(F.col("f_y0"), F.col("f_y1")), "left")
     return best(met, ["plan_id", "grp"], [F.col("frame").asc_nulls_last()]).select("plan_id", "grp", "cx", "cy", "frame")
