@@ -32,8 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storeyline.llm.common import column_or_null, written
-from storeyline.llm.tokens import counter
+from storeyline.llm.common import column_or_null, held, written
+from storeyline.llm.encode import WordIds
 
 WINDOW = 4096
 #: ``placed``, which keeps documents whole, holds the mixture over so many windows.
@@ -48,10 +48,10 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(column_or_null(docs, "source", "string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path)
-        close, narrow = end_id.to_bytes(4, "little"), max(own.vocab.values()) < 1 << 16 and max([0, *own.special.values()]) < 1 << 16
+        own = held(("packing", path), lambda: WordIds(path))
+        close, narrow = end_id.to_bytes(4, "little"), max(own.largest, end_id) < 1 << 16
         for batch in batches:
-            ids = [own.ids(t) + close for t in batch.column(2).to_pylist()]
+            ids = [x + close for x in own(batch.column(2).to_pylist())]
             n = [len(x) // 4 for x in ids]
             if narrow:
                 ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]

@@ -16,21 +16,23 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-#: Words whose results a worker keeps, the first it meets, among which are the frequent ones.
-MEMO = 500_000
+from storeyline.llm.common import held, positional
+from storeyline.llm.encode import KEPT_CHARS, WORD, words
+
+#: Words whose results a worker keeps, the first it meets, among which are the frequent ones; longer
+#: words than ``KEPT_CHARS`` are not kept, so that bytes are bounded too.
+MEMO = 400_000
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-#: White space as the tokenizer's normaliser sees it; str.split() also splits at four control characters.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _STOPS = frozenset(",.;:!?|")
-_WORD, _CONTROL = re.compile(f"[^{_SPACE}]+"), "\x1c\x1d\x1e\x1f"
+_CONTRACTION = re.compile("'(?:[stmd]|re|ve|ll)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -47,7 +49,7 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class PrefixCounter:
-    """Token ids and the count at every prefix, for vocabularies of words with an end marker."""
+    """The token count at every prefix, for vocabularies of words with an end marker."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -71,11 +73,10 @@ class PrefixCounter:
         self.split = {a + b: (a, b) for a, b in reversed(self.rank)}
         #: Tokens that encode to themselves.
         self.own = frozenset(t for t in self.vocab if self._merge(self._symbols(t)) == [t])
-        self.units: dict[str, bytes] = {}
+        self.units: dict[str, int] = {}
         self.state: dict[str, str] = {}
         self.shown = str.maketrans({i: self.bytes[i] for i in range(256) if self.bytes[i] != chr(i)})
         self.counts: dict[str, int] = {}
-        self.ids_of: dict[str, bytes] = {}
 
     # -- the encoding of short symbol sequences, which decides which tokens may be neighbours
 
@@ -159,31 +160,26 @@ class PrefixCounter:
                 return b
         raise ValueError(f"no encoding of {s[:k]!r}")
 
-    def _unit(self, s: str) -> bytes:
-        """The ids of one unit, as little-endian uint32."""
+    def _unit(self, s: str) -> int:
+        """The count of one whole unit: one final token and those of the beginning before it."""
         if (known := self.units.get(s)) is not None:
             return known
         if len(s) > 48:  # deep recursion is no option
-            table, _ = self._inner(s[:-1])
-            last = table.__getitem__
-        else:
-            last = lambda b: self._last(s[:b])
-        k = self._whole(s, len(s), last)
-        ids = [self.vocab[s[k:] + self.end]]
+            last, count = self._inner(s[:-1])
+            return count[self._whole(s, len(s), last.__getitem__)] + 1
+        last = lambda b: self._last(s[:b])
+        k, n = self._whole(s, len(s), last), 1
         while k:
-            t = last(k)
-            ids.append(self.vocab[t])
-            k -= len(t)
-        ids.reverse()
-        out = array("I", ids).tobytes()
+            k -= len(last(k))
+            n += 1
         if len(self.units) < MEMO // 2:
-            self.units[s] = out
-        return out
+            self.units[s] = n
+        return n
 
-    def _unit_prefixes(self, s: str) -> np.ndarray:
-        """The counts of s[:1], s[:2], ..., s as whole units."""
+    def _unit_prefixes(self, s: str, ends: list[int]) -> list[int]:
+        """The counts of s[:k] as whole units, for each k of ``ends``; one pass over s."""
         last, count = self._inner(s[:-1])
-        return np.array([count[self._whole(s, k, last.__getitem__)] + 1 for k in range(1, len(s) + 1)], np.int64)
+        return [count[self._whole(s, k, last.__getitem__)] + 1 for k in ends]
 
     def _word_units(self, word: str) -> Iterator[str | int]:
         """The units of a run without white space; special tokens as their ids."""
@@ -211,61 +207,93 @@ class PrefixCounter:
 
     def _word_count(self, word: str) -> int:
         if (known := self.counts.get(word)) is None:
-            known = sum(1 if isinstance(u, int) else len(self._unit(u)) // 4 for u in self._word_units(word))
-            if len(self.counts) < MEMO:
+            known = sum(1 if isinstance(u, int) else self._unit(u) for u in self._word_units(word))
+            if len(self.counts) < MEMO and len(word) <= KEPT_CHARS:
                 self.counts[word] = known
         return known
 
-    def _word_ids(self, word: str) -> bytes:
-        if (known := self.ids_of.get(word)) is None:
-            known = b"".join(u.to_bytes(4, "little") if isinstance(u, int) else self._unit(u) for u in self._word_units(word))
-            if len(self.ids_of) < MEMO:
-                self.ids_of[word] = known
-        return known
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        return _WORD.findall(text) if any(c in text for c in _CONTROL) else text.split()
-
     def count(self, text: str | None) -> int:
         """The count at the last prefix: the running sum over the words."""
         if not text:
             return 0
-        words = self.words(text)
-        found = list(map(self.counts.get, words))
+        own = words(text)
+        found = list(map(self.counts.get, own))
         if None in found:
-            return sum(self._word_count(w) if n is None else n for w, n in zip(words, found, strict=True))
+            return sum(self._word_count(w) if n is None else n for w, n in zip(own, found, strict=True))
         return sum(found)
 
-    def ids(self, text: str | None) -> bytes:
-        """The ids as little-endian uint32."""
-        if not text:
-            return b""
-        words = self.words(text)
-        found = list(map(self.ids_of.get, words))
-        if None in found:
-            found = [self._word_ids(w) if x is None else x for w, x in zip(words, found, strict=True)]
-        return b"".join(found)
+    def _clusters(self, plain: str) -> list[str]:
+        """The shortest pieces of a word that are normalised independently of each other."""
+        if self.normalise(plain) == "".join(map(self.normalise, plain)):
+            return list(plain)
+        out = [plain[0]]
+        for c in plain[1:]:
+            if not unicodedata.combining(c) and self.normalise(out[-1] + c) == self.normalise(out[-1]) + self.normalise(c):
+                out.append(c)
+            else:
+                out[-1] += c
+        return out
+
+    def _normal_prefixes(self, norm: str) -> tuple[list[int], list[int]]:
+        """For norm[:0], norm[:1], ..., norm, a normalised run without white space: the counts, and for each
+        of them where the last unit of a longer prefix can begin."""
+        out, starts, before = [0], [0], 0
+        for unit, (a, b) in self.pre(norm):
+            chars = norm[a:b]
+            if len(chars) > 1 and _CONTRACTION.fullmatch(chars):  # cut, it is a quote and letters
+                quote = self._unit(chars[0])
+                own = [quote, *(quote + self._unit(chars[1:k]) for k in range(2, len(chars))), self._unit(unit)]
+            else:
+                own = self._unit_prefixes(unit, np.cumsum([len(c.encode()) for c in chars]).tolist())
+            out += [before + n for n in own]
+            starts += [a] * len(chars)
+            before = out[-1]
+        return out, starts
+
+    def _plain_prefixes(self, plain: str) -> list[int]:
+        """The counts of plain[:1], plain[:2], ..., of a run without white space and special strings.
+
+        One pass, but for prefixes that end inside a composed letter: each of these takes a pass over
+        the unit it ends in, because the letter's beginning has another normal form."""
+        if not plain:
+            return []
+        pieces = self._clusters(plain)
+        parts = [self.normalise(p) for p in pieces]
+        norm = "".join(parts)
+        table, starts = self._normal_prefixes(norm)
+        out, at = [], 0
+        for piece, part in zip(pieces, parts, strict=True):
+            for k in range(1, len(piece)):
+                unit = starts[at]
+                out.append(table[unit] + sum(self._unit(u) for u, _ in self.pre(norm[unit:at] + self.normalise(piece[:k]))))
+            at += len(part)
+            out.append(table[at])
+        return out
 
     def _word_prefixes(self, word: str) -> np.ndarray:
-        """Counts of word[:1], word[:2], ..."""
-        if word.isascii() and "<" not in word and "'" not in word and word.isprintable():
-            out, before = [], 0
-            for u in _ASCII.findall(word.lower()):
-                out.append(self._unit_prefixes(u) + before)
-                before = int(out[-1][-1])
-            return np.concatenate(out)
-        return np.array([self.count(word[:k]) for k in range(1, len(word) + 1)], np.int64)
+        """Counts of word[:1], word[:2], ...; one pass, whatever the length."""
+        out, before, at = [], 0, 0
+        for m in self.split_special.finditer(word):
+            head = m.start() - at
+            own = self._plain_prefixes(word[at : m.end() - 1])  # a special string that is cut is plain text
+            out += [before + n for n in own]
+            before += (own[head - 1] if head else 0) + 1
+            out.append(before)
+            at = m.end()
+        out += [before + n for n in self._plain_prefixes(word[at:])]
+        return np.array(out, np.int64)
 
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """The exact count of text[:0], text[:1], ..., text; one entry per code point and one more."""
         text = text or ""
-        out, before = np.zeros(len(text) + 1, np.int64), 0
-        for m in _WORD.finditer(text):
+        out, before, at = np.zeros(len(text) + 1, np.int64), 0, 0
+        for m in WORD.finditer(text):
+            out[at : m.start() + 1] = before
             table = self._word_prefixes(m[0])
             out[m.start() + 1 : m.end() + 1] = table + before
             before += int(table[-1])
-            out[m.end() + 1 :] = before
+            at = m.end() + 1
+        out[at:] = before
         return out
 
     def longest_prefix(self, text: str | None, budget: int) -> int:
@@ -276,7 +304,7 @@ class PrefixCounter:
         """
         text = text or ""
         best, before = 0, 0
-        for m in _WORD.finditer(text):
+        for m in WORD.finditer(text):
             if before > budget:
                 break
             best = m.start()
@@ -291,36 +319,26 @@ class PrefixCounter:
         return len(text) if before <= budget else best
 
 
-_OPEN: dict[str, PrefixCounter] = {}
-
-
-def counter(path: str) -> PrefixCounter:
-    """One per worker and vocabulary."""
-    if path not in _OPEN:
-        _OPEN[path] = PrefixCounter(path)
-    return _OPEN[path]
-
-
 def token_counts(df: DataFrame, text: Column, keys: list[Column], path: str, budgets: list[int] = [], prefixes: bool = False) -> DataFrame:
     """``keys`` with n_bytes, n_tokens, for each budget b ``chars_within_b`` (code points of the
     longest prefix of at most b tokens) and, on request, ``prefix_counts`` (the count at every
     code point). One pass over the rows, no shuffle; memory is one Arrow batch and the memo."""
-    source = df.select(*keys, text.cast("string").alias("__text"))
-    names = source.columns[:-1]
-    schema = source.drop("__text")
-    for name, kind in [("n_bytes", "long"), ("n_tokens", "long"), *((f"chars_within_{b}", "long") for b in budgets), *([("prefix_counts", "array<long>")] if prefixes else [])]:
-        schema = schema.withColumn(name, F.lit(None).cast(kind))
+    source, fields = positional(df, keys, text)
+    n, added = len(fields), ["n_bytes", "n_tokens", *(f"chars_within_{b}" for b in budgets)]
+    schema = StructType([*fields, *(StructField(a, LongType()) for a in added), *[StructField("prefix_counts", ArrayType(LongType()))] * prefixes])
+
+    every = schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path)
+        own = held(("tokens", path), lambda: PrefixCounter(path))
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
+            texts = batch.column(n).to_pylist()
             ns = [own.count(t) for t in texts]
-            columns = [batch.column(i) for i in range(len(names))]
+            columns = [batch.column(i) for i in range(n)]
             columns += [pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(ns, pa.int64())]
-            columns += [pa.array([len(t or "") if n <= b else own.longest_prefix(t, b) for t, n in zip(texts, ns, strict=True)], pa.int64()) for b in budgets]
+            columns += [pa.array([len(t or "") if k <= b else own.longest_prefix(t, b) for t, k in zip(texts, ns, strict=True)], pa.int64()) for b in budgets]
             if prefixes:
                 columns.append(pa.array([own.prefix_counts(t).tolist() for t in texts], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_bytes", "n_tokens", *(f"chars_within_{b}" for b in budgets), *(["prefix_counts"] if prefixes else [])])
+            yield pa.RecordBatch.from_arrays(columns, names=every)
 
-    return source.mapInArrow(run, schema.schema)
+    return source.mapInArrow(run, schema)
