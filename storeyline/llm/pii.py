@@ -6,7 +6,8 @@ far as its grammar reaches and validates what it has (label structure, octet ran
 mod 97). Nothing else of the text is parsed. Matches of one kind never overlap: a parser starts
 where the last match of its kind ended, whether that one was valid or dropped.
 
-Defined results: a null text is empty; rows keep their multiplicity; other columns are untouched.
+Defined results: a null text is empty; rows keep their multiplicity; other columns are untouched, and
+the caller names the new ones, so that none clashes.
 Spans are (kind, start, end) in code points, the end exclusive, by kind as in ``KINDS``, then start.
 """
 
@@ -14,14 +15,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+from storeyline.llm.common import positional
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "ssn", "secret")
-SPAN = "array<struct<kind:string,start:long,end:long>>"
+SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]))
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -51,22 +55,17 @@ def _mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
-_AUTOMATON = None
-
-
+@cache
 def automaton():
-    global _AUTOMATON
-    if _AUTOMATON is None:
-        import ahocorasick
+    import ahocorasick
 
-        found = ahocorasick.Automaton()
-        for c in _DIGITS:
-            found.add_word(c, ("digit", 1))
-        for word, kind in (("@", "at"), ("+", "plus"), ("://", "scheme"), *((w, "iban") for w in ("IBAN", "iban", "Iban")), *((v, "secret") for w in _SECRET_CUES for v in (w, w.capitalize(), w.upper()))):
-            found.add_word(word, (kind, len(word)))
-        found.make_automaton()
-        _AUTOMATON = found
-    return _AUTOMATON
+    found = ahocorasick.Automaton()
+    for c in _DIGITS:
+        found.add_word(c, ("digit", 1))
+    for word, kind in (("@", "at"), ("+", "plus"), ("://", "scheme"), *((w, "iban") for w in ("IBAN", "iban", "Iban")), *((v, "secret") for w in _SECRET_CUES for v in (w, w.capitalize(), w.upper()))):
+        found.add_word(word, (kind, len(word)))
+    found.make_automaton()
+    return found
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -135,23 +134,21 @@ def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
     return "".join(out) + text[open_[1] :]
 
 
-def personal_data(df: DataFrame, text: Column, keys: list[Column], redact: bool = False) -> DataFrame:
-    """``keys`` with ``spans`` and, on request, ``redacted`` (null texts stay null). One pass, no
-    shuffle; memory is one Arrow batch."""
-    source = df.select(*keys, text.cast("string").alias("__text"))
-    names = source.columns[:-1]
-    out = source.drop("__text").withColumn("spans", F.lit(None).cast(SPAN))
-    if redact:
-        out = out.withColumn("redacted", F.lit(None).cast("string"))
+def personal_data(df: DataFrame, text: Column, keys: list[Column], redact: bool = False, names: tuple[str, str] = ("spans", "redacted")) -> DataFrame:
+    """``keys`` with spans and, on request, the redacted text (null texts stay null) under ``names``. One
+    pass, no shuffle; memory is one Arrow batch."""
+    source, fields = positional(df, keys, text)
+    n, schema = len(fields), StructType([*fields, StructField(names[0], SPANS), *[StructField(names[1], StringType())] * redact])
+    every = schema.names
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
+            texts = batch.column(n).to_pylist()
             spans = [find_spans(t) for t in texts]
-            columns = [*(batch.column(i) for i in range(len(names))), pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], kind)]
+            columns = [*(batch.column(i) for i in range(n)), pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], kind)]
             if redact:
                 columns.append(pa.array([redacted(t, x) for t, x in zip(texts, spans, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "spans", *(["redacted"] if redact else [])])
+            yield pa.RecordBatch.from_arrays(columns, names=every)
 
-    return source.mapInArrow(run, out.schema)
+    return source.mapInArrow(run, schema)

@@ -40,7 +40,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(*toxicity.sample(docs, labels, crc_mod("doc_id", 5) != 0))
+    model = toxicity.trained(toxicity.sample(docs, labels, crc_mod("doc_id", 5) != 0))
     found = toxicity.scored(docs, F.col("text"), [F.col("doc_id")], model)
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -50,8 +50,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    counts = [count(kind) for kind in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    counts = [count(kind) for kind in pii.KINDS]
+    digest = F.sha2(joined(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, F.size("spans").cast("long").alias("n_spans"), digest, joined(F.col("spans")).alias("spans"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,25 @@
 
 Words are hashed twice and embedded as the sum of two table rows; filters of several widths slide
 over the whole text, the largest response of each filter is kept (max pooling), and a logistic
-layer weighs them. It is trained here, in numpy, on a bounded sample of labelled rows. The table
-starts from each bucket's log-odds of standing in a toxic text, so that pooling looks at telling
-words from the first step on.
+layer weighs them. It is trained here, in numpy, on a bounded sample of labelled rows, by one task
+on an executor; the driver only passes the model on. The table starts from each bucket's log-odds
+of standing in a toxic text, so that pooling looks at telling words from the first step on.
 
 Thresholds are calibrated by language. The language is not read from a column when scoring: a
-table of word log-likelihoods, learned on the same sample, names it from the text. The returned
-score is the logistic of (response - threshold of that language), so 0.5 is the calibrated border.
+table of word log-likelihoods, learned on the same sample, names it from the text. Languages with
+too few labels to be calibrated share one border. The returned score is the logistic of
+(response - threshold of that language), so 0.5 is the calibrated border.
 
 Defined results: null, empty or wordless texts score 0; documents with several labels count as
-toxic if any label is; null labels are ignored; without labels of both kinds all score 0.
+toxic if any label is; null labels are ignored; without labels of both kinds all score 0; of rows that
+share an id one is learned from. ``scored`` takes the name of its result, so that no key clashes.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -23,13 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from storeyline.llm import textcodes
+from storeyline.llm.common import column_or_null, held, positional
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 4
 LANG_BUCKETS = 1 << 12
-#: Labelled documents of each label in the sample.
+#: Labelled documents of each label in the sample, and words in all: later texts are not learned from.
 MAX_TRAIN = 2000
+MAX_WORDS = 8_000_000
+#: Rows of each label that a language's own border is calibrated on.
+CALIBRATED = 10
 
 
 @dataclass
@@ -88,9 +98,11 @@ def _responses(model: Model, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarr
 
 
 def _languages(model: Model, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(hashes) + 1, model.langs.shape[1]))
-    np.cumsum(model.langs[_lang_ids(hashes)], axis=0, out=total[1:])
-    return np.argmax(total[bounds[1:]] - total[bounds[:-1]], 1)
+    if model.langs.shape[1] == 1 or not len(hashes):
+        return np.zeros(len(bounds) - 1, np.int64)
+    likely = model.langs[_lang_ids(hashes)]
+    total = np.add.reduceat(np.concatenate((likely, likely[:1] * 0)), bounds[:-1], axis=0)
+    return np.argmax(total * (np.diff(bounds) > 0)[:, None], 1)
 
 
 def score_texts(model: Model | None, texts: list[str | None]) -> np.ndarray:
@@ -103,10 +115,36 @@ def score_texts(model: Model | None, texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def _hashed(texts: list[str], step: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all texts, hashed a few texts at a time: only the hashes stay in memory."""
-    parts = [textcodes.words(*textcodes.folded(texts[i : i + step])) for i in range(0, len(texts), step)]
-    return np.concatenate([h for h, _ in parts]), np.cumsum(np.concatenate([[0], *(np.diff(b) for _, b in parts)]))
+class Sample:
+    """The hashed words of different texts, added a few at a time; the texts are not kept."""
+
+    def __init__(self, max_words: int = MAX_WORDS):
+        self.hashes: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.labels: list[int] = []
+        self.langs: list[str | None] = []
+        self.left = max_words
+        self.met: set[bytes] = set()
+
+    def add(self, texts: list[str], labels: list[int], langs: list[str | None], step: int = 100) -> None:
+        for at in range(0, len(texts), step):
+            if self.left <= 0:
+                return
+            new = []
+            for i in range(at, min(at + step, len(texts))):
+                digest = hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if digest not in self.met:
+                    self.met.add(digest)
+                    new.append(i)
+            h, b = textcodes.words(*textcodes.folded([texts[i] for i in new]))
+            self.hashes.append(h)
+            self.counts.append(np.diff(b))
+            self.labels += [labels[i] for i in new]
+            self.langs += [langs[i] for i in new]
+            self.left -= len(h)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.zeros(0, np.uint64), *self.hashes]), np.cumsum(np.concatenate([[0], *self.counts]))
 
 
 def _slice(hashes: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,13 +152,13 @@ def _slice(hashes: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np
     return np.concatenate(parts) if parts else hashes[:0], np.cumsum([0, *map(len, parts)])
 
 
-def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], epochs: int = 12, seed: int = 7) -> Model | None:
+def fit(sample: Sample, epochs: int = 12, seed: int = 7) -> Model | None:
     """A model from a bounded sample; every sixth row of each label only calibrates the borders."""
-    labels = np.asarray(labels, int)
+    labels, langs = np.asarray(sample.labels, int), sample.langs
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
-    hashes, bounds = _hashed(texts)
+    hashes, bounds = sample.words()
     n, owner = np.diff(bounds), np.repeat(np.arange(len(labels)), np.diff(bounds))
     aside = np.zeros(len(labels), bool)
     for y in (0, 1):
@@ -145,12 +183,16 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], epochs: i
         t = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
         t[:, 0] = odds(ids) / 2
         tables.append(t)
-    names = sorted({x for x in langs if x is not None}) or ["und"]
-    counts = np.full((LANG_BUCKETS, len(names)), 0.5)
-    of = np.array([names.index(x) if x in names else -1 for x in langs])
-    known = of[owner] >= 0
-    np.add.at(counts, (_lang_ids(hashes)[known], of[owner][known]), 1)
-    model = Model(*tables, [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS, 0.3, np.float32), -1.0, np.log(counts / counts.sum(0)), np.zeros(len(names)), 1.0)
+    rows_of: dict[str | None, list[int]] = {}
+    for i in np.flatnonzero(aside):
+        rows_of.setdefault(langs[i], []).append(int(labels[i]))
+    # the others share the last place; these are at most as many as the sample has rows for
+    names = sorted(x for x, own in rows_of.items() if x is not None and min(sum(own), len(own) - sum(own)) >= CALIBRATED)
+    place = {x: k for k, x in enumerate(names)}
+    of = np.array([place.get(x, len(names)) for x in langs])
+    pair = _lang_ids(hashes) * (len(names) + 1) + of[owner]
+    counts = 0.5 + np.bincount(pair, minlength=LANG_BUCKETS * (len(names) + 1)).reshape(LANG_BUCKETS, -1)
+    model = Model(*tables, [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS, np.float32), np.full(len(WIDTHS) * FILTERS, 0.3, np.float32), -1.0, np.log(counts / counts.sum(0)).astype(np.float32), np.zeros(len(names) + 1), 1.0)
     for f in model.filters:
         f[0, 0, :2] = 1.0
     weight = {y: len(train) / max(1, 2 * (labels[train] == y).sum()) for y in (0, 1)}
@@ -202,38 +244,49 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], epochs: i
     model.borders[:] = overall
     for k in range(len(names)):
         own = said == k
-        if (labels[check][own] == 1).sum() >= 10 and (labels[check][own] == 0).sum() >= 10:
+        if (labels[check][own] == 1).sum() >= CALIBRATED and (labels[check][own] == 0).sum() >= CALIBRATED:
             model.borders[k] = border(z[own], labels[check][own])
     model.scale = float(4 / max(0.5, np.abs(z - overall).mean()))
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_label: int = MAX_TRAIN) -> tuple[list[str], np.ndarray, list[str | None]]:
-    """(texts, labels, languages) of at most ``per_label`` rows of each label, drawn by hash of the id.
-
-    The ids drawn, and so what is broadcast and collected, are bounded by 2 * per_label."""
+def sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_label: int = MAX_TRAIN) -> DataFrame:
+    """text, y, lang of at most ``per_label`` documents of each label, drawn by hash of the id: one
+    partition in the order of that hash. The ids drawn are bounded by 2 * per_label."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(allowed).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     drawn = None
     for y in (0, 1):
         part = ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         drawn = part if drawn is None else drawn.unionByName(part)
-    lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang")).where("text is not null").join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(4 * per_label).toPandas()
-    rows = rows.drop_duplicates("text")
-    return rows["text"].tolist(), rows["y"].to_numpy(), [None if x is None or x != x else x for x in rows["lang"]]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), column_or_null(docs, "lang", "string").alias("lang")).where("text is not null")
+    one = F.min_by(F.struct("text", "lang", "y"), F.xxhash64("text", "lang")).alias("one")  # whatever an id's number of rows
+    return rows.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(one).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("one.text", "one.y", "one.lang")
+
+
+def trained(rows: DataFrame) -> bytes:
+    """The pickled model of a ``sample``, fitted by the task that holds its one partition."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Sample()
+        for batch in batches:
+            own.add(*(batch.column(i).to_pylist() for i in range(3)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(own))], pa.binary())], names=["model"])
+
+    found = rows.mapInArrow(run, "model binary").first()
+    return bytes(found.model) if found else pickle.dumps(None)
 
 
-def scored(df: DataFrame, text: Column, keys: list[Column], model: Model | None) -> DataFrame:
-    """``keys`` with score: one pass, no shuffle. The model has a fixed size and is broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    source = df.select(*keys, text.cast("string").alias("__text"))
-    names = source.columns[:-1]
-    schema = source.drop("__text").withColumn("score", F.lit(None).cast("double")).schema
+def scored(df: DataFrame, text: Column, keys: list[Column], model: bytes, name: str = "score") -> DataFrame:
+    """``keys`` and the score under ``name``: one pass, no shuffle. The model has a fixed size and is broadcast."""
+    shared, key = df.sparkSession.sparkContext.broadcast(model), ("toxicity", uuid.uuid4().hex)
+    source, fields = positional(df, keys, text)
+    n, schema = len(fields), StructType([*fields, StructField(name, DoubleType())])
+    names = schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = held(key, lambda: pickle.loads(shared.value))
         for batch in batches:
-            scores = score_texts(own, batch.column(len(names)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(scores, pa.float64())], names=[*names, "score"])
+            scores = score_texts(own, batch.column(n).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(scores, pa.float64())], names=names)
 
     return source.mapInArrow(run, schema)
