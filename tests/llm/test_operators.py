@@ -3,6 +3,7 @@ repeated rows, empty tables, clashing column names."""
 
 import hashlib
 import json
+import pickle
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storeyline.llm import decontam, graph, langid, neardup, packing, pii, queries, suffixdedup, textcodes, tokens, toolcalls, topk, toxicity
+from storeyline.llm import decontam, encode, graph, langid, neardup, packing, pii, queries, suffixdedup, textcodes, tokens, toolcalls, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 PATH = tokens.tokenizer_path("word_bpe_49k.json")
@@ -52,7 +53,7 @@ def test_tokens_equal_the_library(library):
     for i in range(1500):
         s = "".join(r.choice(alphabet) for _ in range(r.randrange(30)))
         s = s[:10] + "<|endoftext|>" * (r.random() < 0.3) + s[10:]
-        assert np.frombuffer(own.ids(s), "<u4").tolist() == library.encode(s, add_special_tokens=False).ids
+        assert own.count(s) == len(library.encode(s, add_special_tokens=False).ids)
         if i < 300:
             counts = [len(library.encode(s[:k], add_special_tokens=False).ids) for k in range(len(s) + 1)]
             assert own.prefix_counts(s).tolist() == counts
@@ -60,6 +61,27 @@ def test_tokens_equal_the_library(library):
                 assert own.longest_prefix(s, budget) == max(k for k, n in enumerate(counts) if n <= budget)
 
 
+def test_prefixes_of_long_words_take_one_pass(library):
+    own, r = tokens.PrefixCounter(PATH), random.Random(3)
+    for text in ("".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(20_000)), "é'Re" * 500 + "e\u0301\u0323x" * 20, "\u1100\u1161" * 50):
+        table = own.prefix_counts(text)
+        assert len(table) == len(text) + 1
+        for k in [0, 1, 2, len(text), *r.sample(range(len(text)), 20)]:
+            assert table[k] == len(library.encode(text[:k], add_special_tokens=False).ids)
+    assert own.longest_prefix(text, 7) == max(k for k in range(len(text) + 1) if table[k] <= 7)
+
+
+def test_ids_equal_the_library(library, monkeypatch):
+    monkeypatch.setattr(encode, "MEMO", 40)  # most words are encoded anew
+    own, r = encode.WordIds(PATH), random.Random(0)
+    alphabet = "ab'stredl <|endoftext|> é\x1c\x1f́İßΣ1２\t\n\x85\xa0中文🙂.,!\x00\x01\x7f"
+    texts = [None, "", "\x01", "x" * 3000, "Straße, STRASSE ǅ ﬁn ﬁn. ªb ʰx; ⅷ İi. ΣΑΣ, ΑΣ", *("".join(r.choice(alphabet) for _ in range(r.randrange(30))) + "<|endoftext|>" * (r.random() < 0.3) for _ in range(1500))]
+    for at in range(0, len(texts), 100):
+        for t, ids in zip(texts[at : at + 100], own(texts[at : at + 100]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
+    assert len(own.kept) <= 40
+
+
 def test_token_counts(spark, library, odd):
     out = tokens.token_counts(docs_of(spark, odd), F.col("text"), [F.col("doc_id"), F.col("__text").alias("n")], PATH, [5], prefixes=True).collect()
     for r in out:
@@ -150,15 +172,44 @@ def test_every_window_holds_the_mixture(spark, library, case):
 # 2: languages
 
 
-def test_bundles_are_sums_of_bound_letters():
-    own = langid.Space(64, 3)
-    grams, counts = next(langid.trigrams(["abca bc"]))
-    total = np.zeros(64)
-    s = langid.symbols(textcodes.folded(["abca bc"])[0])
-    for a, b, c in zip(s, s[1:], s[2:]):
+def brute_bundle(own, text):
+    total = np.zeros(own.dim)
+    letters = textcodes.folded([text])[0].tolist()
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
         if a or b or c:
-            total += np.roll(own.letters[a], 2) * np.roll(own.letters[b], 1) * own.letters[c]
-    assert np.allclose(own.bundle(grams, counts), total)
+            total += np.roll(own.letter(a), 2) * np.roll(own.letter(b), 1) * own.letter(c)
+    return total
+
+
+def test_bundles_are_sums_of_bound_letters(monkeypatch):
+    monkeypatch.setattr(langid, "GRAMS", 5)  # most vectors are made anew
+    own = langid.Space(64, 3)
+    for text in ("abca bc", "привет мир", "語言識別 abc"):
+        for _ in range(2):
+            assert np.allclose(own.bundle(*next(langid.trigrams([text]))), brute_bundle(own, text))
+    vectors = [own.letter(c) for c in range(0x4E00, 0x4E80)]
+    assert len({v.tobytes() for v in vectors}) == 128  # every letter has its own
+
+
+def test_op2_equals_brute_force(spark):
+    """The whole query on a small table: every document bundled and compared by loops over its letters."""
+    docs = duckdb.sql(f"select doc_id, text, lang from '{SF}/documents.parquet'").fetchall()
+    own, held = langid.Space(), lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    bundles = {i: brute_bundle(own, t or "") for i, t, _ in docs if len(t or "") < 3000}
+    sums = {}
+    for i, t, lang in docs:
+        if lang is not None and not held(i):
+            v = bundles[i] if i in bundles else own.bundle(*next(langid.trigrams([t])))
+            n = np.sqrt((next(langid.trigrams([t or ""]))[1].astype(float) ** 2).sum())
+            sums[lang] = sums.get(lang, 0) + v / max(1.0, n)
+    names = sorted(sums)
+    prototypes = np.array([sums[k] / np.linalg.norm(sums[k]) for k in names])
+    out = {r.doc_id: r for r in queries.queries()["op2_language_id"](spark, SF).collect()}
+    assert set(out) == {i for i, _, _ in docs} and len(bundles) > 100
+    for i, v in bundles.items():
+        near = prototypes @ v / max(1e-9, np.linalg.norm(v))
+        assert out[i].held_out == held(i) and out[i].lang_pred == (names[int(np.argmax(near))] if v.any() else "und")
+        assert abs(out[i].score - (max(0, near.max()) if v.any() else 0)) < 1e-3
 
 
 def test_languages_of_held_out_rows(spark):
@@ -235,6 +286,8 @@ def test_top_k_of_few_and_large(spark):
     df = topk.quantised(spark.createDataFrame([(0, [0.5, 0.5]), (1, [0.25, 1.0]), (2, [1.0])], "vec_id long, e array<double>"), F.col("vec_id"), F.col("e"))
     assert [tuple(r) for r in topk.top_k(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 128 * 64 + 128 * 256)]
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
+    huge = topk.quantised(spark.createDataFrame([(0, [0.5]), (1, [1e20]), (2, [1e300]), (3, [2.0])], "vec_id long, e array<double>"), F.col("vec_id"), F.col("e"))
+    assert [tuple(r) for r in topk.top_k(huge, huge.where("vec_id = 0")).collect()] == [(0, 1, 3, 128 * 512)]
     q = np.array([[2**30 + 1, 1]], np.int64)
     assert topk._products(q, q, 2.0**61)[0, 0] == (2**30 + 1) ** 2 + 1  # beyond what doubles hold
 
@@ -291,6 +344,12 @@ def test_text_beside_tool_calls_is_a_message(spark):
 # 6: toxicity
 
 
+def sample_of(texts, labels, langs):
+    own = toxicity.Sample()
+    own.add(list(texts), list(labels), list(langs))
+    return own
+
+
 def test_toxicity_finds_planted_words(spark):
     r = random.Random(9)
     texts, labels = [], []
@@ -300,21 +359,62 @@ def test_toxicity_finds_planted_words(spark):
             t[r.randrange(len(t))] = r.choice(["Grizzle,", "blarg", "snarf!"])
         texts.append(" ".join(t))
         labels.append(int(i % 3 == 0))
-    model = toxicity.fit(texts[:350], labels[:350], ["en" if i % 2 else None for i in range(350)])
+    model = toxicity.fit(sample_of(texts[:350], labels[:350], ["en" if i % 2 else None for i in range(350)]))
     said = toxicity.score_texts(model, texts[350:])
     assert ((said >= 0.5) == np.array(labels[350:], bool)).mean() > 0.97
-    out = toxicity.scored(docs_of(spark, [None, "", "12 34", texts[0]]), F.col("text"), [F.col("doc_id")], model).orderBy("doc_id").collect()
-    assert [x.score for x in out[:3]] == [0, 0, 0] and out[3].score > 0.5
+    df = docs_of(spark, [None, "", "12 34", texts[0]]).withColumn("score", F.lit("kept"))
+    out = toxicity.scored(df, F.col("text"), [F.col("doc_id"), F.col("score")], pickle.dumps(model), "score_").orderBy("doc_id").collect()
+    assert [x.score_ for x in out[:3]] == [0, 0, 0] and out[3].score_ > 0.5 and out[0].score == "kept"
     long = " ".join(texts[1:200:3]) + " blarg"
     assert toxicity.score_texts(model, [long])[0] >= 0.5  # the last word of a long text counts
-    assert toxicity.fit([], [], []) is None and toxicity.fit(["a"], [1], [None]) is None
+    assert toxicity.fit(toxicity.Sample()) is None and toxicity.fit(sample_of(["a"], [1], [None])) is None
     assert toxicity.score_texts(None, ["a"]).tolist() == [0]
 
 
+def brute_scores(model, texts):
+    """Scores one text at a time, by loops over words, widths and filters."""
+    out = []
+    for t in texts:
+        words = textcodes.words(*textcodes.folded([t]))[0]
+        if not len(words):
+            out.append(0.0)
+            continue
+        a, b = toxicity._ids(words)
+        emb = [model.one[i] + model.two[j] for i, j in zip(a, b, strict=True)] + [np.zeros(toxicity.DIM, np.float32)] * 2
+        pooled = []
+        for w, f in zip(toxicity.WIDTHS, model.filters, strict=True):
+            for c in range(toxicity.FILTERS):
+                pooled.append(max(sum(float(emb[i + j] @ f[j, :, c]) for j in range(w)) for i in range(len(words))))
+        z = float(np.maximum(0, np.array(pooled) + model.bias) @ model.dense) + model.offset
+        lang = int(np.argmax(sum(model.langs[i].astype(float) for i in toxicity._lang_ids(words))))
+        out.append(1 / (1 + np.exp(-np.clip((z - model.borders[lang]) * model.scale, -30, 30))))
+    return out
+
+
+def test_op6_equals_brute_force(spark):
+    """The whole query: the same model, every document scored by loops, and labels of held-out rows."""
+    sf = "/root/testdata/sf0.01"
+    out = {r.doc_id: r for r in queries.queries()["op6_toxicity"](spark, sf).collect()}
+    docs = dict(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())
+    labels = duckdb.sql(f"select doc_id, toxic from '{sf}/labels.parquet' where toxic is not null").fetchall()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    learned = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = pickle.loads(toxicity.trained(toxicity.sample(*learned, queries.crc_mod("doc_id", 5) != 0)))
+    some = sorted(docs)[::7]
+    for i, s in zip(some, brute_scores(model, [docs[i] for i in some]), strict=True):
+        assert abs(out[i].score - s) < 1e-3 and out[i].predicted == int(out[i].score >= 0.5) and out[i].held_out == held(i)
+    right = [out[i].predicted == y for i, y in labels if held(i)]
+    assert set(out) == set(docs) and np.mean(right) > 0.95
+
+
 def test_toxicity_sample_is_bounded(spark):
     docs, labels = docs_of(spark, ["a"] * 3 + [f"b{i}" for i in range(50)]), spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None), (4, 1)], "doc_id long, toxic int")
-    texts, y, langs = toxicity.sample(docs, labels, F.lit(True), per_label=10)
-    assert len(texts) <= 20 and len(texts) == len(set(texts)) == len(y) == len(langs)
+    rows = toxicity.sample(docs.unionByName(docs), labels, F.lit(True), per_label=10)
+    assert 10 < rows.count() <= 20 and rows.columns == ["text", "y", "lang"]
+    few = toxicity.Sample(max_words=5)
+    few.add([f"one two three {x}" for x in "aabcdef"], [0] * 7, [None] * 7, step=1)
+    assert len(few.labels) == 2
+    assert pickle.loads(toxicity.trained(rows.where("false"))) is None
 
 
 # 7: personal data
@@ -353,6 +453,12 @@ def test_added_spans_and_redaction():
     assert pii.redacted("a@b.c d", pii.find_spans("a@b.c d")) == "[EMAIL] d" and pii.redacted(None, []) is None
 
 
+def test_personal_data_keeps_clashing_columns(spark):
+    df = docs_of(spark, ["a@b.cd"]).select("doc_id", "text", F.lit("s").alias("spans"), F.lit("r").alias("redacted"), F.lit("t").alias("__text"))
+    out = pii.personal_data(df, F.col("text"), [F.col(c) for c in df.columns], redact=True, names=("found", "clean")).first()
+    assert (out.spans, out.redacted, out["__text"], out.clean, len(out.found)) == ("s", "r", "t", "[EMAIL]", 1)
+
+
 def test_personal_data_frame(spark, odd):
     out = pii.personal_data(docs_of(spark, [*odd, "x a@b.cd 1.2.3.4"]), F.col("text"), [F.col("doc_id"), F.col("row")], redact=True).orderBy("doc_id").collect()
     assert out[0].redacted is None and out[0].spans == [] and out[-1].redacted == "x [EMAIL] [IP]" and out[1].redacted == ""
@@ -378,18 +484,20 @@ def test_loser_tree_merges():
     r = random.Random(3)
     for k in (1, 2, 3, 7):
         items = [sorted(bytes(r.choice(b"ab") for _ in range(r.randrange(8, 20))) for _ in range(r.randrange(30))) for _ in range(k)]
-        runs = [suffixdedup.decoded(suffixdedup.front_coded([(x, 0, b"", 1) for x in run])) for run in items if run]
+        runs = [suffixdedup.decoded(suffixdedup.front_coded([(x, bytes(24), b"", 1) for x in run])) for run in items if run]
         got = list(suffixdedup.merged(runs)) if runs else []
         assert [x for x, _, _ in got] == sorted(sum(items, []))
         for (a, _, _), (b, h, _) in zip(got, got[1:], strict=False):
             assert h == suffixdedup.common(a, b, 0)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeats(spark, seed, monkeypatch):
-    if seed == 2:  # every gram in more than one context counts as frequent
-        monkeypatch.setattr(suffixdedup, "FREQUENT", 1)
-    r = random.Random(seed)
+@pytest.mark.parametrize("case", ["plain", "groups", "halves", "words"])
+def test_repeats(spark, case, monkeypatch):
+    if case == "halves":  # every group of more than two is divided, down to single strings
+        monkeypatch.setattr(suffixdedup, "GROUP", 2)
+    if case == "groups":  # groups of three take the path of large ones
+        monkeypatch.setattr(suffixdedup, "PAIRS", 2)
+    r = random.Random(len(case))
     base = [prose(r, 60) for _ in range(12)]
     texts = [None, "", "short", "ab" * 200, base[0], base[0]]
     for _ in range(25):
@@ -397,12 +505,38 @@ def test_repeats(spark, seed, monkeypatch):
         i, j = r.randrange(len(a)), r.randrange(len(b))
         texts.append(prose(r, 3) + a[i : i + r.randrange(20, 200)] + "é" + b[j : j + r.randrange(20, 200)] + prose(r, 2))
     ids = [*range(len(texts) - 1), 5]  # one id twice
-    out = suffixdedup.dedup(docs_of(spark, texts, ids), length=50, gram=10, with_text=True).collect()
-    want = sorted(zip(ids, brute_removed([(t or "").encode() for t in texts], 50), strict=True))
-    got = sorted((x.doc_id, (x.n_removed, x.n_spans, x.kept_sha256)) for x in out)
+    rows = list(zip(ids, texts, strict=True))
+    rows += [rows[10], rows[10], (None, base[3]), (None, base[3])]  # equal rows
+    ids, texts = [i for i, _ in rows], [t for _, t in rows]
+    out = suffixdedup.dedup(docs_of(spark, texts, ids), length=50, gram=10, short=30, with_text=True).collect()
+    data = [(t or "").encode() for t in texts]
+    shorter = [x[0] for x in brute_removed(data, 30)]
+    want = sorted(zip(ids, brute_removed(data, 50), shorter, strict=True), key=str)
+    got = sorted(((x.doc_id, (x.n_removed, x.n_spans, x.kept_sha256), x.n_repeated) for x in out), key=str)
     assert got == want and all(len(x.kept) == x.n_bytes - x.n_removed for x in out)
 
 
+def test_equal_polynomial_hashes_remove_nothing(spark):
+    """Thue-Morse words: any polynomial modulo 2**64 is equal on the two, though they share little."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    x, y = "".join("xy"[c == "a"] for c in a), "".join("xy"[c == "a"] for c in b)
+    same = prose(random.Random(3), 30)[:64]
+    texts = [x[:300] + same + y[:372], y[:300] + same + x[:372]]
+    want = brute_removed([t.encode() for t in texts], 400)
+    out = suffixdedup.dedup(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.n_removed, r.n_spans, r.kept_sha256) for r in out] == want
+
+
+def test_passages_of_over_fifty_words_are_counted(spark):
+    r = random.Random(5)
+    passage = " ".join(prose(r, 1)[:6].ljust(5, "e") for _ in range(53))
+    texts = [f"{prose(r, 90)} {passage} {prose(r, 20)}", f"{prose(r, 30)} {passage} {prose(r, 70)}", prose(r, 150)]
+    out = suffixdedup.dedup(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [(x.n_removed, x.n_passages) for x in out] == [(0, 1), (0, 1), (0, 0)] and out[0].n_repeated >= len(passage) and out[2].n_repeated == 0
+
+
 def test_repeats_of_nothing(spark):
     assert suffixdedup.dedup(docs_of(spark, []), length=50, gram=10).count() == 0
 
@@ -504,6 +638,7 @@ def near_texts(r):
 @pytest.mark.parametrize("percent", [85, 80])
 def test_near_duplicates(spark, percent, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 3)  # large groups take the path of several blocks
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 2)
     texts = near_texts(random.Random(percent))
     out = {x.doc_id: x for x in neardup.near_duplicates(docs_of(spark, texts), percent).collect()}
     for i, (n, c) in enumerate(brute_components(texts, percent)):

@@ -4,9 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from storeyline.llm import pii, tokens
+from storeyline.llm import common, pii, tokens
 from test_operators import brute_components, check_packing, prose
 
 
@@ -71,6 +72,19 @@ def test_rows_that_share_an_id_count_by_their_texts(spark):
     assert sorted(kept, key=str) == sorted([(1, a), (5, b), (5, c), (8, d), (8, None), (8, ""), (9, "")], key=str)
 
 
+def test_clashing_and_map_columns_pass_through(spark, planted):
+    folder = planted[0]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 30 or doc_id >= 2000 or doc_id is null")
+    names = ["score", "spans", "redacted", "__text", "row", "n", "kind", "rep"]
+    docs = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)), F.create_map(F.lit("k"), F.lit(1)).alias("m"))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = common.written(f(spark, docs, folder))
+        assert set(names) | {"m"} < set(docs.columns), name
+        rows = docs.collect()
+        assert 0 < len(rows) <= before and all(r[c] == i for r in rows for i, c in enumerate(names)) and all(r.m == {"k": 1} for r in rows)
+
+
 def test_leaks_go(planted):
     _, items, stages = planted
     before, after = stages["decontamination"]
