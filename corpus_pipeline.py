@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeyline.llm import decontam, neardup, packing, pii, tokens, toxicity
-from storeyline.llm.common import bounded_batches, crc_mod, table, written
+from storeyline.llm.common import bounded_batches, crc_mod, free_name, table, written
 
 VOCABULARY = "word_bpe_49k.json"
 #: Percent of shared five-word shingles from which documents are near duplicates.
@@ -21,27 +21,30 @@ NEAR = 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the calibrated threshold; rows without text stay."""
     bounded_batches(spark)
-    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0))
-    found = toxicity.scored(docs, F.col("text"), [F.col(f"`{c}`") for c in docs.columns], model)
-    return found.where("score < 0.5").select(*(f"`{c}`" for c in docs.columns))
+    model = toxicity.trained(toxicity.sample(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0))
+    score = free_name(docs, "score")
+    found = toxicity.scored(docs, F.col("text"), [F.col(f"`{c}`") for c in docs.columns], model, score)
+    return found.where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row of the smallest id, then the least by its other columns;
-    rows without an id stay.
+    """Of each group of near duplicates the row of the smallest id; rows without an id stay.
 
     Every row counts by its own text, so rows that share an id but not their texts all stay. Texts
-    without words are near to nothing; rows equal in id and such a text become one."""
+    without words are near to nothing; rows equal in id and such a text become one. Which of several
+    rows of the smallest id stays follows their order in the written table."""
     bounded_batches(spark)
-    rows = written(docs.where("doc_id is not null").withColumn("__row", F.monotonically_increasing_id()))
-    found = neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), percent=NEAR)
-    found = found.select(F.col("doc_id").alias("__row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__group"))
-    wordless = F.col("__group").isNull()
-    groups = ["__group", F.when(wordless, F.col("doc_id")).alias("__id"), F.when(wordless, F.col("text")).alias("__same")]
-    others = [c for c in docs.columns if c != "doc_id"]
-    least = F.min(F.struct("doc_id", *(f"`{c}`" for c in others))).alias("__least")
-    one = rows.join(found.hint("shuffle_hash"), "__row").groupBy(*groups).agg(least).select("__least.*")
-    return one.unionByName(docs.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
+    row = free_name(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(rows.where("doc_id is not null").select(F.col(row).alias("doc_id"), "text"), percent=NEAR)
+    found = found.select(F.col("doc_id").alias("r"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("g"))
+    own = rows.where("doc_id is not null").select(F.col(row).alias("r"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    own = own.join(found, "r")
+    # with words: one row a group; without: one row an id and text
+    wordless = F.col("g").isNull()
+    keys = ["g", F.when(wordless, F.col("id")).alias("i"), F.when(wordless, F.col("h")).alias("t")]
+    kept = own.groupBy(*keys).agg(F.min(F.struct("id", "r")).alias("least")).select(F.col("least.r").alias(row))
+    return rows.where("doc_id is not null").join(kept, row, "left_semi").unionByName(rows.where("doc_id is null")).drop(row)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +56,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by its kind; n_chars is the new length."""
     bounded_batches(spark)
-    found = pii.personal_data(docs, F.col("text"), [F.col(f"`{c}`") for c in docs.columns if c != "text"], redact=True)
-    new = {"text": F.col("redacted"), "n_chars": F.coalesce(F.length("redacted").cast("long"), F.col("n_chars"))}
+    spans, text = free_name(docs, "spans"), free_name(docs, "redacted")
+    found = pii.personal_data(docs, F.col("text"), [F.col(f"`{c}`") for c in docs.columns if c != "text"], redact=True, names=(spans, text))
+    new = {"text": F.col(text), "n_chars": F.coalesce(F.length(text).cast("long"), F.col("n_chars"))}
     return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
