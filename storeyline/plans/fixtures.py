@@ -91,9 +91,11 @@ def geo_area_fix(spark: SparkSession, _: str) -> DataFrame:
     return d.select("i", S.area_text("v").alias("text"), S.digit_drops(F.col("v"), F.col("measured")).alias("fixed"))
 
 
+_VALUES = [(k, v) for k, x in {1: [10.0, 10.2, 9.9, 20.0], 2: [10.0, 10.2], 3: [1.0, 2.0, 3.0, 4.0, 5.0], 4: [5.0], 5: [10.0, 20.0, 20.3, 40.0]}.items() for v in x]
+
+
 def geo_consensus(spark: SparkSession, _: str) -> DataFrame:
-    values = {1: [10.0, 10.2, 9.9, 20.0], 2: [10.0, 10.2], 3: [1.0, 2.0, 3.0, 4.0, 5.0], 4: [5.0], 5: [10.0, 20.0, 20.3, 40.0]}
-    d = _rows(spark, [(k, v) for k, x in values.items() for v in x], "plan_id long, v double")
+    d = _rows(spark, _VALUES, "plan_id long, v double")
     return consensus(d, ["plan_id"], "v").select("plan_id", "n", F.round("value", 4).alias("value"))
 
 
@@ -137,10 +139,12 @@ def geo_stairs(spark: SparkSession, _: str) -> DataFrame:
     return classify.stairs(_lines(spark), _frame(spark))
 
 
+_THICK = [(1, 0.0, 0.0, 100.0, 0.0, 3.6), (2, 0.0, 10.0, 100.0, 10.0, 3.5), (3, 0.0, 20.0, 24.0, 20.0, 9.0), (4, 0.0, 30.0, 100.0, 60.0, 9.0), (5, 50.0, 0.0, 50.0, 90.0, 5.0)]
+
+
 def geo_thick_walls(spark: SparkSession, _: str) -> DataFrame:
     """Long axis lines of 1.8 thin widths; not the thin, the short, the slanted one."""
-    rows = [(1, 0.0, 0.0, 100.0, 0.0, 3.6), (2, 0.0, 10.0, 100.0, 10.0, 3.5), (3, 0.0, 20.0, 24.0, 20.0, 9.0), (4, 0.0, 30.0, 100.0, 60.0, 9.0), (5, 50.0, 0.0, 50.0, 90.0, 5.0)]
-    return classify.thick_walls(_rows(spark, [(1, *r[:5], "LINES", r[5], 1) for r in rows], LINES), _frame(spark)).select("seq")
+    return classify.thick_walls(_rows(spark, [(1, *r[:5], "LINES", r[5], 1) for r in _THICK], LINES), _frame(spark)).select("seq")
 
 
 def geo_window_lines(spark: SparkSession, _: str) -> DataFrame:
@@ -169,8 +173,11 @@ def geo_cleanup(spark: SparkSession, _: str) -> DataFrame:
     return out.select("seq", *(F.round(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
+_BRIDGED = [(1, 0.0, 0.0, 100.0, 0.0), (2, 0.0, 20.0, 100.0, 20.0), (3, 10.0, 1.0, 14.0, 19.0), (4, 10.0, 1.0, 14.0, 40.0), (5, 200.0, 1.0, 204.0, 19.0)]
+
+
 def geo_bridges(spark: SparkSession, _: str) -> DataFrame:
-    lines = _rows(spark, [(1, s, *xy, "LINES", 2.0, 1) for s, *xy in [(1, 0.0, 0.0, 100.0, 0.0), (2, 0.0, 20.0, 100.0, 20.0), (3, 10.0, 1.0, 14.0, 19.0), (4, 10.0, 1.0, 14.0, 40.0), (5, 200.0, 1.0, 204.0, 19.0)]], LINES)
+    lines = _rows(spark, [(1, s, *xy, "LINES", 2.0, 1) for s, *xy in _BRIDGED], LINES)
     return cleanup.drop_bridges(lines, 25.0, 2.0).select("seq")
 
 
@@ -223,8 +230,11 @@ def geo_openings(spark: SparkSession, _: str) -> DataFrame:
     return bim.opening_names(bim.opening_details(openings, rects, plans)).select("seq", "host", "name", *(F.round(c, 4).alias(c) for c in ("offset", "width", "height", "sill")))
 
 
+_ROOMS = [(1, 1, None, 30, 30, 36.19), (1, 2, "Küche", 30, 520, 52.0), (1, 3, None, 400, 30, 10.0)]
+
+
 def _model_rooms(spark: SparkSession) -> DataFrame:
-    return bim.room_titles(_rows(spark, [(1, 1, None, 30, 30, 36.19), (1, 2, "Küche", 30, 520, 52.0), (1, 3, None, 400, 30, 10.0)], "plan_id long, label long, name string, top int, left int, area double"))
+    return bim.room_titles(_rows(spark, _ROOMS, "plan_id long, label long, name string, top int, left int, area double"))
 
 
 def geo_summary(spark: SparkSession, _: str) -> DataFrame:
@@ -337,12 +347,18 @@ def geo_simplify(spark: SparkSession, _: str) -> DataFrame:
     return raster.simplified(_rows(spark, [(1, 1, i, x, y) for i, x, y in pts], "plan_id long, path long, i long, x double, y double"), 0.5).select("i", "x", "y")
 
 
+_GREYS = [(1, 10, 50), (1, 12, 40), (1, 200, 300), (1, 210, 500), (2, 0, 10), (2, 100, 5), (2, 255, 10)]
+
+
 def geo_otsu(spark: SparkSession, _: str) -> DataFrame:
-    return raster.otsu(_rows(spark, [(1, v, n) for v, n in ((10, 50), (12, 40), (200, 300), (210, 500))], "plan_id long, value int, n long"))
+    return raster.otsu(_rows(spark, _GREYS, "plan_id long, value int, n long"))
+
+
+_RINGS = [(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0)]), (2, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]), (3, [(1.0, 1.0), (7.5, 2.0), (5.0, 6.0), (0.5, 4.0)])]
 
 
 def geo_ring_area(spark: SparkSession, _: str) -> DataFrame:
-    d = _rows(spark, [(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0)]), (2, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)])], "i long, ring array<struct<x:double,y:double>>")
+    d = _rows(spark, _RINGS, "i long, ring array<struct<x:double,y:double>>")
     return d.select("i", S.ring_area(F.col("ring")).alias("area"))
 
 
@@ -415,8 +431,11 @@ def geo_plausible_openings(spark: SparkSession, _: str) -> DataFrame:
     return openings.plausible_openings(_opening_rows(spark), _rows(spark, [(1, 10.0)], "plan_id long, wall_px double")).select("seq", "plausible")
 
 
+_PASSAGES = [(1, 1, "window", True), (1, 2, "window", False), (1, 3, "door", True), (2, 1, "window", True)]
+
+
 def geo_passages(spark: SparkSession, _: str) -> DataFrame:
-    rows = _rows(spark, [(1, 1, "window", True), (1, 2, "window", False), (1, 3, "door", True), (2, 1, "window", True)], "plan_id long, seq long, kind string, inside boolean")
+    rows = _rows(spark, _PASSAGES, "plan_id long, seq long, kind string, inside boolean")
     return openings.passages(rows).select("plan_id", "seq", "kind")
 
 
@@ -467,12 +486,18 @@ def geo_skew(spark: SparkSession, _: str) -> DataFrame:
     return openings.skew(_segments(spark)).select("plan_id", F.round("angle", 3).alias("angle"))
 
 
+_TRIED = [(1, 1.0, 0.80), (1, 0.7, 0.86), (1, 0.5, 0.87), (1, 0.35, 0.6), (2, 0.5, 0.4)]
+
+
 def geo_chosen_scale(spark: SparkSession, _: str) -> DataFrame:
-    return openings.chosen_scale(_rows(spark, [(1, 1.0, 0.80), (1, 0.7, 0.86), (1, 0.5, 0.87), (1, 0.35, 0.6)], "plan_id long, scale double, conf double"))
+    return openings.chosen_scale(_rows(spark, _TRIED, "plan_id long, scale double, conf double"))
+
+
+_AREAS = [(1, 1, 100), (1, 2, 5), (1, 3, 4), (2, 1, 3)]
 
 
 def geo_large_components(spark: SparkSession, _: str) -> DataFrame:
-    return openings.large_components(_rows(spark, [(1, 1, 100), (1, 2, 5), (1, 3, 4), (2, 1, 3)], "plan_id long, label long, area long")).select("plan_id", "label")
+    return openings.large_components(_rows(spark, _AREAS, "plan_id long, label long, area long")).select("plan_id", "label")
 
 
 def geo_layer_counts(spark: SparkSession, _: str) -> DataFrame:
@@ -521,9 +546,19 @@ ORACLE_SQL = {
     "geo_scale_texts": _sql("i, ratios, prefixed", [(0, "100", True), (1, "50", True), (2, "200", True), (3, "500", False), (4, "", False), (5, "", False), (6, "20", True)]),
     "geo_stamp_texts": _sql("i, line, area, marked, named, number", [(0, "02 Küche", None, False, True, "02"), (1, "F 12,5", 12.5, True, False, None), (2, "20.3 m²", 20.3, True, False, "20.3"), (3, "12.50", 12.5, False, False, "12.50"), (4, "Zimmer", None, False, False, None), (5, "Wohnen", None, False, True, None), (6, "02", None, False, False, "02"), (7, "BF=7.25", 7.25, True, False, None), (8, "3 m²", 3.0, True, False, "3"), (9, "W 1", None, False, False, None)]),
     "geo_area_fix": _sql("i, text, fixed", [(0, "235.5 m²", 25.5), (1, "20.3 m²", 20.0), (2, "12.35 m²", 12.3), (3, "117.0 m²", 17.0)]),
-    "geo_consensus": _sql("plan_id, n, value", [(1, 4, 10.0), (2, 2, 10.1), (3, 5, None), (4, 1, None), (5, 4, 20.15)]),
+    "geo_consensus": "with r as (" + _sql("plan_id, v", _VALUES) + ") "
+    """, c as (select plan_id, v, count(*) as w from r group by all), n as (select plan_id, count(*) as n from r group by all),
+        m as (select a.plan_id, a.v, sum(b.w) as hits from c a join c b on a.plan_id = b.plan_id and abs(b.v - a.v) <= 0.06 * a.v group by a.plan_id, a.v qualify row_number() over (partition by a.plan_id order by hits desc, a.v) = 1),
+        d as (select m.plan_id, m.hits, median(r.v) as med from m join r on r.plan_id = m.plan_id and abs(r.v - m.v) <= 0.06 * m.v group by all),
+        s as (select *, row_number() over (partition by plan_id order by v) as i from r),
+        p as (select a.plan_id, (a.v + b.v) / 2 as pair from s a join s b on a.plan_id = b.plan_id and a.i < b.i and b.v - a.v <= 0.025 * a.v join n on n.plan_id = a.plan_id and n.n between 2 and 4 qualify row_number() over (partition by a.plan_id order by a.i, b.i) = 1)
+        select n.plan_id, n.n, round(case when n.n < 2 then null when d.hits >= 3 and d.hits >= 0.5 * n.n then d.med else p.pair end, 4) as value from n left join d on d.plan_id = n.plan_id left join p on p.plan_id = n.plan_id""",
     "geo_scale_ladder": "select 1 as plan_id, cast(5 as double) as mm_per_px, 'calibration' as source union all select 2, 8.1, 'chain' union all select 3, round(25.4 / 150 * 100, 6), 'ratio' union all select 4, 8.0, 'rooms' union all select 5, round(900 / 100.0, 6), 'doors' union all select 6, null, 'none'",
-    "geo_pairs": _sql("plan_id, seq_a, seq_b", [(1, 1, 2), (1, 5, 6)] + [(1, s, s + 1) for s in range(10, 15)]),
+    "geo_pairs": "with r as (" + _sql("seq, x1, y1, x2, y2, w", _PLAN) + ") "
+    """, g as (select seq, y1 = y2 as flat, case when y1 = y2 then y1 else x1 end as f, case when y1 = y2 then least(x1, x2) else least(y1, y2) end as a, case when y1 = y2 then greatest(x1, x2) else greatest(y1, y2) end as b from r where x1 = x2 or y1 = y2),
+        h as (select * from g where b - a >= greatest(12 * 2, 0.025 * 1000))
+        select 1 as plan_id, p.seq as seq_a, q.seq as seq_b from h p join h q on p.flat = q.flat and (q.f > p.f or (q.f = p.f and q.seq > p.seq)) and q.f - p.f between greatest(1.8 * 2, 0.003 * 1000) and 0.03 * 1000
+        and least(p.b, q.b) - greatest(p.a, q.a) >= 0.4 * least(p.b - p.a, q.b - q.a)""",
     "geo_hatch": _sql("plan_id, seq", [(1, s) for s in range(21, 25)]),
     "geo_stairs": _sql("plan_id, seq", [(1, s) for s in range(10, 16)]),
     "geo_classify": _sql("kind, seq, layer, mm_per_px", [("line", s, layer, None) for s, layer in _CHAIN] + [("arc", 1, "DOORS", None), ("arc", 2, "LINES", None), ("text", 1, "DIMENSIONS", None), ("scale", 1, None, 10.0)]),
@@ -535,10 +570,15 @@ ORACLE_SQL = {
         and least(o.x1, r.x1) > greatest(o.x0, r.x0) and least(o.y1, r.y1) > greatest(o.y0, r.y0)),
         b as (select * from m qualify row_number() over (partition by seq order by area desc, host) = 1)
         select 1 as plan_id, o.seq, b.host from o left join b on o.seq = b.seq""",
-    "geo_walls": _sql("seq, name, external, length, thickness, sx, sy", [(1, "Aussenwand 01", True, 12.0, 0.3, 0.0, 9.85), (2, "Aussenwand 02", True, 8.0, 0.3, 0.15, 10.0), (3, "Innenwand 03", False, 7.7, 0.12, 5.06, 9.7), (4, "Innenwand 04", False, 1.0, 0.1, 6.0, 9.85)]),
+    "geo_walls": "with r as (" + _sql("seq, x0, y0, x1, y1, orient", _RECTS) + ") "
+    """, m as (select seq, seq < 3 as external, case orient when 'h' then x1 - x0 else y1 - y0 end / 100 as length, case orient when 'h' then y1 - y0 else x1 - x0 end / 100 as thickness,
+        case orient when 'h' then x0 else (x0 + x1) / 2 end / 100 as sx, (1000 - case orient when 'h' then (y0 + y1) / 2 else y0 end) / 100 as sy from r)
+        select seq, case when external then 'Aussenwand ' else 'Innenwand ' end || lpad(cast(row_number() over (order by external desc, length desc, seq) as varchar), 2, '0') as name, external, round(length, 4) as length, round(thickness, 3) as thickness, round(sx, 4) as sx, round(sy, 4) as sy
+        from m where length >= 0.1""",
     "geo_openings": _sql("seq, host, name, offset, width, height, sill".replace("offset", '"offset"'), [(1, 1, "Fenster 01", 1.2, 2.0, 1.2, 0.9), (2, 3, "Tür 01", 1.7, 0.9, 2.0, 0.0), (4, 1, "Fenster 02", 6.2, 0.7, 1.2, 0.9)]),
     "geo_summary": _sql("plan_id, walls, external, doors, windows, rooms, area", [(1, 4, 2, 1, 2, 3, 98.2)]),
-    "geo_room_titles": _sql("label, name", [(1, "Raum 01"), (2, "Küche"), (3, "Raum 02")]),
+    "geo_room_titles": "with r as (" + _sql("plan_id, label, name, top_px, left_px, area", _ROOMS) + ") "
+    "select label, coalesce(name, 'Raum ' || lpad(cast(sum(cast(name is null as integer)) over (order by top_px, left_px, label) as varchar), 2, '0')) as name from r",
     "geo_model_json": _sql("plan_id, first_wall, width, second_space, n_walls", [(1, "Aussenwand 01", 2.0, "Küche", 4)]),
     "geo_wall_boxes": _sql("seq, kind, a, b, bottom, top", [(1, "solid", 0.0, 1.2, 0.0, 2.5), (1, "sill", 1.2, 3.2, 0.0, 0.9), (1, "lintel", 1.2, 3.2, 2.1, 2.5), (1, "solid", 3.2, 6.2, 0.0, 2.5), (1, "sill", 6.2, 6.9, 0.0, 0.9), (1, "lintel", 6.2, 6.9, 2.1, 2.5), (1, "solid", 6.9, 12.0, 0.0, 2.5), (2, "solid", 0.0, 8.0, 0.0, 2.5), (3, "solid", 0.0, 1.7, 0.0, 2.5), (3, "lintel", 1.7, 2.6, 2.0, 2.5), (3, "solid", 2.6, 7.7, 0.0, 2.5), (4, "solid", 0.0, 1.0, 0.0, 2.5)]),
     "geo_storeys": _sql("plan_id, i, name, height, elevation, is_plan", [(1, 0, "UG", 2.5, -2.5, False), (1, 1, "EG", 2.8, 0.0, True), (1, 2, "OG", 2.8, 2.8, False), (2, 0, "DG", 3.0, 0.0, True), (3, 0, "1OG", 2.7, 0.0, False), (3, 1, "DG", 2.4, 2.7, True)]),
@@ -551,21 +591,28 @@ ORACLE_SQL = {
     "geo_components": _sql("label, area, x0, y0, cx, cy", [(1, 24, 1, 1, 4.5, 2.0), (2, 3, 3, 5, 3.0, 6.0), (3, 3, 6, 6, 7.0, 6.0)]),
     "geo_wall_rects": _sql("seq, x0, y0, x1, y1, orient", [(0, 1.0, 1.0, 9.0, 4.0, "h"), (1, 3.0, 5.0, 4.0, 8.0, "v"), (2, 6.0, 6.0, 9.0, 7.0, "h")]),
     "geo_cleanup": _sql("seq, x1, y1, x2, y2", [(1, 0.0, 0.5, 204.0, 0.5), (3, 204.0, 0.5, 204.0, 150.0), (4, 0.0, 100.0, 204.0, 100.0), (7, 52.5, 0.5, 52.5, 100.0), (8, 60.0, 40.0, 90.0, 70.0)]),
-    "geo_thick_walls": _sql("seq", [(1,), (5,)]),
+    "geo_thick_walls": "with r as (" + _sql("seq, x1, y1, x2, y2, w", _THICK) + ") "
+    "select seq from r where w >= 1.8 * 2 and sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) >= greatest(12 * 2, 0.025 * 1000) and (x1 = x2 or y1 = y2)",
     "geo_window_lines": _sql("seq", [(3,), (4,)]),
     "geo_skeleton": _sql("parts, tallest", [(3, 2)]),
     "geo_merged_rects": _sql("seq, x0, y0, x1, y1", [(1, 0.0, 0.0, 300.0, 10.0), (3, 320.0, 0.0, 400.0, 10.0), (4, 0.0, 50.0, 100.0, 60.0), (5, 102.0, 40.0, 300.0, 70.0)]),
     "geo_circle": _sql("plan_id, cx, cy, r, fits", [(1, 5.0, 7.0, 3.0, True)]),
     "geo_simplify": _sql("i, x, y", [(0, 0.0, 0.0), (2, 10.0, 0.0), (5, 10.0, 10.0)]),
-    "geo_otsu": _sql("plan_id, threshold", [(1, 12)]),
-    "geo_ring_area": _sql("i, area", [(1, 6.0), (2, 4.0)]),
+    "geo_otsu": "with r as (" + _sql("plan_id, v, n", _GREYS) + ") "
+    """, t as (select a.plan_id, a.v, sum(b.n) filter (b.v <= a.v) as w0, sum(b.n * b.v) filter (b.v <= a.v) as s0, sum(b.n) filter (b.v > a.v) as w1, sum(b.n * b.v) filter (b.v > a.v) as s1 from r a join r b on a.plan_id = b.plan_id group by a.plan_id, a.v)
+        select plan_id, v as threshold from t where w1 > 0 qualify row_number() over (partition by plan_id order by round(w0 * w1 * (s0 / w0 - s1 / w1) ** 2, 6) desc, v) = 1""",
+    "geo_ring_area": "with r as (" + _sql("i, k, n, x, y", [(i, k, len(p), *xy) for i, p in _RINGS for k, xy in enumerate(p)]) + ") "
+    "select a.i, abs(sum(a.x * b.y - b.x * a.y)) / 2 as area from r a join r b on a.i = b.i and b.k = (a.k + 1) % a.n group by a.i",
     "geo_layout": _sql("plan_id, page_w, scale, k", [(1, 1190.55, 100, 0.24), (2, 841.89, None, 3.420469), (3, 1190.55, 50, 0.566929)]),
     "geo_ifc": _sql("plan_id, n_wall, n_door, n_window, n_buildingstorey, n_space, n_slab, n_stair, n_relvoidselement, n_relfillselement, n_elementquantity, n_propertyset, loose_references, framed", [(1, 4, 1, 2, 2, 2, 1, 1, 3, 3, 7, 8, 0, True)]),
     "geo_svg": _sql("plan_id, svg", [(1, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 20 10" preserveAspectRatio="xMidYMid meet" class="vec">' + drawing.STYLE + '<rect width="20" height="10" fill="#fff"/><g class="l-LINES"><path d="M0 0L1 1Z"/></g><g class="l-SYMBOLS"><circle cx="5" cy="5" r="2"/></g><g class="l-DOORS"><path d="M10 0A10 10 0 0 1 0 10"/></g><g class="l-WALLS"><path d="M0 0L10 0.5M0 5L10 5"/></g><g class="l-TEXT"><text x="1" y="9" font-size="10">A &lt; B</text></g></svg>')]),
     "geo_dxf": "select 1 as plan_id, " + "replace('" + "|".join(["0", "SECTION", "2", "HEADER", "9", "$ACADVER", "1", "AC1024", "9", "$INSUNITS", "70", "4", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES", "0", "LINE", "8", "WALLS", "10", "0.0000", "20", "20.0000", "11", "20.0000", "21", "19.0000", "0", "ARC", "8", "DOORS", "10", "0.0000", "20", "20.0000", "40", "20.0000", "50", "-90.0000", "51", "-0.0000", "0", "ENDSEC", "0", "EOF", ""]) + "', '|', chr(10)) as dxf",
     "geo_distinct_openings": _sql("seq", [(1,), (3,), (5,), (6,)]),
-    "geo_plausible_openings": _sql("seq, plausible", [(1, True), (2, True), (3, True), (4, True), (5, False), (6, False)]),
-    "geo_passages": _sql("plan_id, seq, kind", [(1, 1, "door"), (1, 2, "window"), (1, 3, "door"), (2, 1, "window")]),
+    "geo_plausible_openings": "with r as (" + _sql("seq, kind, x0, y0, x1, y1, orient", _BOXES) + ") "
+    """, w as (select seq, case orient when 'h' then x1 - x0 else y1 - y0 end as w, case orient when 'h' then y1 - y0 else x1 - x0 end as d from r)
+        select seq, w >= greatest(10, 0.42 * median(w) over ()) and d <= 22 as plausible from w""",
+    "geo_passages": "with r as (" + _sql("plan_id, seq, kind, indoors", _PASSAGES) + ") "
+    "select plan_id, seq, case when kind = 'window' and indoors and count(*) filter (kind = 'window' and not indoors) over (partition by plan_id) > 0 then 'door' else kind end as kind from r",
     "geo_window_boxes": _sql("plan_id, orient, x0, y0, x1, y1, n", [(1, "h", 0.0, 0.0, 52.0, 30.0, 3), (1, "v", 300.0, 0.0, 310.0, 41.0, 2)]),
     "geo_zones": _sql("plan_id, seq", [(1, 1)]),
     "geo_line_choice": _sql("i, choice", [(i, c[5]) for i, c in enumerate(_CHOICES)]),
@@ -573,8 +620,10 @@ ORACLE_SQL = {
     "geo_plan_title": _sql("plan_id, title", [(1, "Grundriss Erdgeschoss")]),
     "geo_dominant_angle": _sql("plan_id, angle, clarity", [(1, 9.1, 0.8)]),
     "geo_skew": _sql("plan_id, angle", [(1, 9.1)]),
-    "geo_chosen_scale": _sql("plan_id, scale", [(1, 0.7)]),
-    "geo_large_components": _sql("plan_id, label", [(1, 1), (1, 2), (2, 1)]),
+    "geo_chosen_scale": "with r as (" + _sql("plan_id, scale, conf", _TRIED) + ") "
+    "select plan_id, max(scale) as scale from (select *, max(conf) over (partition by plan_id) as top from r) where conf >= top - 0.012 group by plan_id",
+    "geo_large_components": "with r as (" + _sql("plan_id, label, area", _AREAS) + ") "
+    "select plan_id, label from r qualify area >= 0.05 * max(area) over (partition by plan_id)",
     "geo_layer_counts": _sql("plan_id, layer, n", [(1, "WALLS", 2), (1, "SYMBOLS", 1), (1, "TEXT", 1), (1, "DOORS", 1), (1, "NEW", 1)]),
     "geo_bounds": _sql("plan_id, x0, y0, x1, y1", [(1, -10.0, -10.0, 10.0, 10.0)]),
     "geo_stamp_boxes": _sql("plan_id, grp, cx, cy, frame", [(1, 1, 5.0, 15.0, 7), (1, 2, 105.0, 5.0, None)]),
