@@ -10,10 +10,11 @@ from storeyline.llm.common import written
 
 def _with_least(rows: DataFrame) -> DataFrame:
     """Each row (u, v) with m, the least of u and its neighbours. The join goes by a hash of u, for which both sides
-    are dealt anew: adaptive execution may then split the rows of a node with very many edges."""
+    are dealt anew: adaptive execution may then split the rows of a node with very many edges. It is a shuffled join
+    at any size, so that the driver never holds a side."""
     least = rows.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     least = least.select(F.xxhash64("u").alias("k"), F.col("u").alias("lu"), "m")
-    return rows.withColumn("k", F.xxhash64("u")).join(least, "k").where("u = lu").select("u", "v", "m")
+    return rows.withColumn("k", F.xxhash64("u")).join(least.hint("shuffle_hash"), "k").where("u = lu").select("u", "v", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ Large groups are split into blocks by hash, each a task's bounded work. Blocks o
 with each other only as far as the edges found inside blocks have not made their members one
 component, so a family of near copies costs its size and not its square; nothing is capped or dropped.
 
+Joins are shuffled at any size, so what the driver holds does not depend on the data.
+
 Defined results: null texts and texts without words have empty sets and link with nothing; rows
 with a null doc_id are linked with nothing and get a null component; rows sharing a doc_id are
 one node, whichever texts they have.
@@ -240,10 +242,10 @@ def _cells(df: DataFrame, group: str, member: str) -> DataFrame:
 
 def _apart(members: DataFrame, labels: DataFrame, group: str, member: str) -> DataFrame:
     """The members of groups of several blocks whose members are not in one component yet, with it as ``side``."""
-    several = members.where("blocks > 1").join(labels.select(F.col("node").alias(member), F.col("component").alias("of")), member, "left")
+    several = members.where("blocks > 1").join(labels.select(F.col("node").alias(member), F.col("component").alias("of")).hint("shuffle_hash"), member, "left")
     several = several.withColumn("side", F.coalesce("of", F.col(member))).drop("of")
     open_ = several.groupBy(group).agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low < high").select(group)
-    return several.join(open_, group)
+    return several.join(open_.hint("shuffle_hash"), group)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, errors: int = 1) -> DataFrame:
@@ -301,7 +303,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, errors:
 
         First every block by itself. Blocks of a group meet only where the edges found so, in all groups, have not made
         its members one component, and then only members of different components are compared."""
-        one = members.withColumn("i", _own_block(group, "rep")).withColumn("j", F.col("i")).join(payload, "rep")
+        one = members.withColumn("i", _own_block(group, "rep")).withColumn("j", F.col("i")).join(payload.hint("merge"), "rep")
         column = payload.columns[-1]
         edges = _dealt(one.select(group, "i", "j", "rep", column, F.lit(None).cast("long").alias("side")), group, "i", "j").mapInArrow(run, "a long, b long")
         labels = written(components(edges if more is None else edges.unionByName(more)))
@@ -310,25 +312,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, errors:
         apart = written(_apart(members, labels, group, "rep"))
         if apart.isEmpty():
             return labels
-        cross = _dealt(_cells(apart, group, "rep").join(payload, "rep").select(group, "i", "j", "rep", column, "side"), group, "i", "j").mapInArrow(run, "a long, b long")
+        cross = _dealt(_cells(apart, group, "rep").join(payload.hint("merge"), "rep").select(group, "i", "j", "rep", column, "side"), group, "i", "j").mapInArrow(run, "a long, b long")
         return written(components(cross.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
 
     keyed = classes.select("rep", "sig").mapInArrow(index, "key long, rep long")
     # a family meets under many keys: of keys with the same members one is compared
     same = [F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"h{i}") for i in (1, 2)]
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), *same).where("n > 1").groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
-    met = written(keyed.join(shared, "key").select("key", "rep", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    met = written(keyed.join(shared.hint("shuffle_hash"), "key").select("key", "rep", F.ceil(F.col("n") / BLOCK).alias("blocks")))
     families = families_of(met, "key", classes.select("rep", "sig"), near)
-    sized = families.join(classes.groupBy("rep").agg(F.max("n").alias("n")), families["node"] == F.col("rep")).select("node", "component", "n")
+    sized = families.join(classes.groupBy("rep").agg(F.max("n").alias("n")).hint("shuffle_hash"), families["node"] == F.col("rep")).select("node", "component", "n")
     weight = sized.groupBy("component").agg(F.sum("n").alias("all_n"), F.count("*").alias("members"))
-    wanted = written(sized.join(weight, "component").select(F.col("node").alias("rep"), "component", F.greatest(F.ceil(F.col("all_n") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_TEXTS)).alias("blocks")))
+    wanted = written(sized.join(weight.hint("shuffle_hash"), "component").select(F.col("node").alias("rep"), "component", F.greatest(F.ceil(F.col("all_n") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_TEXTS)).alias("blocks")))
     # rows that share an id are one node: the classes of its texts are linked
-    of = base.where("cls is not null and doc_id is not null").select("doc_id", "cls").join(classes.select("cls", "rep"), "cls").select("doc_id", "rep").distinct()
+    of = base.where("cls is not null and doc_id is not null").select("doc_id", "cls").join(classes.select("cls", "rep").hint("shuffle_hash"), "cls").select("doc_id", "rep").distinct()
     several = of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most")
-    same_id = of.join(several, "doc_id").select(F.col("rep").alias("a"), "b")
+    same_id = of.join(several.hint("shuffle_hash"), "doc_id").select(F.col("rep").alias("a"), "b")
     labels = families_of(wanted, "component", rows.select(F.col("doc_id").alias("rep"), "text"), confirm, same_id)
-    by_class = classes.select("cls", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("of_class"))
-    full = base.where("cls is not null").join(by_class, "cls", "left").select("doc_id", "n_shingles", "of_class")
+    by_class = classes.select("cls", "rep").join(labels.withColumnRenamed("node", "rep").hint("shuffle_hash"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("of_class"))
+    full = base.where("cls is not null").join(by_class.hint("shuffle_hash"), "cls", "left").select("doc_id", "n_shingles", "of_class")
     empty = base.where("cls is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("of_class"))
     by_doc = full.unionByName(empty).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id"))
     return by_doc.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
