@@ -39,12 +39,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = neardup.near_duplicates(rows.where("doc_id is not null").select(F.col(row).alias("doc_id"), "text"), percent=NEAR)
     found = found.select(F.col("doc_id").alias("r"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("g"))
     own = rows.where("doc_id is not null").select(F.col(row).alias("r"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    own = own.join(found, "r")
+    own = own.join(found.hint("shuffle_hash"), "r")
     # with words: one row a group; without: one row an id and text
     wordless = F.col("g").isNull()
     keys = ["g", F.when(wordless, F.col("id")).alias("i"), F.when(wordless, F.col("h")).alias("t")]
     kept = own.groupBy(*keys).agg(F.min(F.struct("id", "r")).alias("least")).select(F.col("least.r").alias(row))
-    return rows.where("doc_id is not null").join(kept, row, "left_semi").unionByName(rows.where("doc_id is null")).drop(row)
+    return rows.where("doc_id is not null").join(kept.hint("shuffle_hash"), row, "left_semi").unionByName(rows.where("doc_id is null")).drop(row)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
