@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import re
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
@@ -50,10 +52,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def released(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage and give freed native memory back to the system.
+
+    A driver that plans many queries from many threads keeps freed memory in as many native heaps, several
+    hundred MB of it; HotSpot's diagnostic command hands it back. Other JVMs do not have the command."""
+    jvm = spark._jvm
+    jvm.System.gc()
+    make = spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+    types, none, names = make(jvm.java.lang.Class, 4), make(jvm.java.lang.Object, 0), make(jvm.java.lang.String, 0)
+    types[0], types[1], types[2], types[3] = of("javax.management.ObjectName"), of("java.lang.String"), none.getClass(), names.getClass()
+    bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    values = make(jvm.java.lang.Object, 4)
+    values[0], values[1], values[2], values[3] = bean, "systemTrimNativeHeap", none, names
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    with contextlib.suppress(Py4JJavaError):
+        of("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, values)
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """``written`` and a function that deletes the table, for tables that are done with early."""
+    """``written`` and a function that deletes the table, for tables that are done with early.
+
+    Spark deletes the shuffle files of a finished query when its plan is collected as garbage on the
+    driver; asking for that here keeps disk and driver memory at what one step needs."""
     path = scratch_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    released(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path), lambda: _delete(df.sparkSession, path)
 
 
