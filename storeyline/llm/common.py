@@ -8,7 +8,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -71,13 +71,25 @@ def released(spark: SparkSession) -> None:
         of("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, values)
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """``written`` and a function that deletes the table, for tables that are done with early.
 
-    Spark deletes the shuffle files of a finished query when its plan is collected as garbage on the
-    driver; asking for that here keeps disk and driver memory at what one step needs."""
+    Left to itself, Spark deletes the shuffle files of a finished query when its plan is collected as
+    garbage on the driver, which listeners that still hold the plan put off; so it is told to delete
+    them when the query ends. Collecting garbage keeps driver memory at what one step needs."""
     path = scratch_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    with _setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
     released(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path), lambda: _delete(df.sparkSession, path)
 

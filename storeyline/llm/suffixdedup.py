@@ -116,7 +116,8 @@ def common(a: bytes, b: bytes, known: int) -> int:
 
 
 def front_coded(items: list[tuple[bytes, bytes, bytes, int]]) -> bytes:
-    """A run of (key, name, reversed left side, copies), sorted and front-coded; names have 24 bytes."""
+    """A run of (key, name, reversed left side, copies), sorted, front-coded and
+    packed, as the runs are most of what is exchanged; names have 24 bytes."""
     items.sort()
     shared, tails, last = [], [], b""
     for key, *_ in items:
@@ -125,12 +126,14 @@ def front_coded(items: list[tuple[bytes, bytes, bytes, int]]) -> bytes:
         tails.append(key[n:])
         last = key
     pack = lambda parts: (np.array([len(p) for p in parts], "<u2").tobytes(), b"".join(parts))
-    return pickle.dumps((np.array(shared, "<u2").tobytes(), *pack(tails), *pack([x[2] for x in items]), b"".join(x[1] for x in items), bytes(min(2, x[3]) for x in items)))
+    run = pickle.dumps((np.array(shared, "<u2").tobytes(), *pack(tails), *pack([x[2] for x in items]), b"".join(x[1] for x in items), bytes(min(2, x[3]) for x in items)))
+    return len(run).to_bytes(8, "little") + pa.compress(run, codec="zstd", asbytes=True)
 
 
 def decoded(run: bytes) -> Iterator[tuple[bytes, int, tuple[bytes, bytes, int]]]:
     """(key, common prefix with the key before, (name, left, copies)) in order."""
-    shared, tail_n, tails, left_n, lefts, names, copies = pickle.loads(run)
+    plain = pa.decompress(run[8:], int.from_bytes(run[:8], "little"), codec="zstd", asbytes=True)
+    shared, tail_n, tails, left_n, lefts, names, copies = pickle.loads(plain)
     key, t, s, at = b"", 0, 0, 0
     for n, a, b, m in zip(np.frombuffer(shared, "<u2").tolist(), np.frombuffer(tail_n, "<u2").tolist(), np.frombuffer(left_n, "<u2").tolist(), copies, strict=True):
         key = key[:n] + tails[t : t + a]
@@ -309,7 +312,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, short: int =
     forget()
     place = F.struct("doc_id", "th", "pos", "deep")
     kinds = live.groupBy("kh", "ch", "ci").agg(F.count("*").alias("m"), F.min(place).alias("one"), F.max(place).alias("two"))
-    kinds = written(kinds)
+    kinds, forget = stored(kinds)
 
     def items(of: DataFrame, *more: str) -> DataFrame:
         """A row for each of the one or two copies of a context, with where it is and whether it is one row's twice."""
@@ -425,6 +428,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, short: int =
     for more in done:
         said = said.unionByName(more)
     said = written(said.groupBy(*SAID[:3]).agg(*(F.max(n).alias(n) for n in SAID[3:])))
+    forget()
     place = F.struct(*(F.when(F.col(n) >= 0, F.col("pos") + (F.col(n) if i % 2 else -F.col(n))).cast("long").alias(n) for i, n in enumerate(SAID[3:])))
     cover = live.join(said, SAID[:3]).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), place.alias("at"))
     cover = cover.distinct().groupBy("d", "t").agg(F.collect_list("at").alias("cover"))

@@ -6,15 +6,17 @@ import json
 import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storeyline.llm import decontam, encode, graph, langid, neardup, packing, pii, queries, suffixdedup, textcodes, tokens, toolcalls, topk, toxicity
+from storeyline.llm import common, decontam, encode, graph, langid, neardup, packing, pii, queries, suffixdedup, textcodes, tokens, toolcalls, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 PATH = tokens.tokenizer_path("word_bpe_49k.json")
@@ -480,6 +482,28 @@ def brute_removed(datas, length):
     return out
 
 
+def test_stored_leaves_no_shuffle_files(spark, monkeypatch):
+    monkeypatch.setattr(common, "released", lambda spark: None)  # not by luck of the garbage collector
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    setting = spark.conf.get(key, None)
+    df, _ = common.stored(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 10  # executors delete after being told to
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert df.count() == 7 and spark.conf.get(key, None) == setting
+
+
+def test_runs_are_packed():
+    r = random.Random(5)
+    items = [(prose(r, 60).encode(), bytes(24), prose(r, 60).encode(), 1) for _ in range(200)]
+    run = suffixdedup.front_coded(list(items))
+    assert len(run) < 0.6 * sum(len(k) + len(left) for k, _, left, _ in items)
+    assert [(k, left) for k, _, (_, left, _) in suffixdedup.decoded(run)] == sorted((k, left) for k, _, left, _ in items)
+
+
 def test_loser_tree_merges():
     r = random.Random(3)
     for k in (1, 2, 3, 7):
