@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 
-MEMO = 250_000
+MEMO = 500_000
 #: Longer words are not kept.
 KEPT_CHARS = 64
 #: White space as the tokenizer's normaliser sees it; str.split() also splits at four control characters.

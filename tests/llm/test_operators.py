@@ -482,6 +482,15 @@ def brute_removed(datas, length):
     return out
 
 
+def test_worker_keeps_400000_words():
+    own, calls = encode.WordIds(PATH), []
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices(SYLLABLES, k=5)) for _ in range(100_000)) for _ in range(4)]
+    first = own(texts)
+    encoded, own._encoded = own._encoded, lambda text: calls.append(text) or encoded(text)
+    assert own(texts) == first and not calls
+
+
 def test_stored_leaves_no_shuffle_files(spark, monkeypatch):
     monkeypatch.setattr(common, "released", lambda spark: None)  # not by luck of the garbage collector
     dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
